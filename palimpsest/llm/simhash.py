@@ -267,7 +267,7 @@ def near_duplicates(
         scratch.drop(s, pairs)
         return out
 
-    def leaders(key, table: pa.Table) -> pa.Table:
+    def leaders(key, table):
         """Pairs of each member with the members nearest to the majority of the bucket's bits."""
         fp = np.stack([table.column(f"f{i}").to_numpy().view(U) for i in range(LANES)], axis=1)
         centre = np.array([majority(fp[:, i]) for i in range(LANES)], dtype=U)
