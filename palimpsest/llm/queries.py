@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, mixing, neighbours, simhash, windows
+from . import chat, ctw, mixing, neighbours, ordering, pieces, quality, simhash, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,15 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded_labels(table(spark, sf_dir, "labels")), 3)
+    tail = F.col("tail")
+    return quality.grade(docs, model).select(
+        "row.doc_id", "score", "expected_grade", tail[0].alias("p_good"), tail[1].alias("p_good_clean"), (tail[1] >= 0.5).alias("selected")
+    )
+
+
 def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.cross_polytope_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -78,6 +87,30 @@ def op5_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+#: Where the files of the public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def file_content(name: str, folder: str | None = None) -> bytes:
+    with open(f"{folder or TOKENIZERS}/{name}", "rb") as f:
+        return f.read()
+
+
+#: The split pattern of the byte-level vocabulary, and its free id.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_OF_TEXT = 50256
+
+
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = file_content("byte_bpe_50k.tiktoken")
+    return ordering.training_order(table(spark, sf_dir, "documents"), ranks, SPLIT_PATTERN, END_OF_TEXT)
+
+
+def op7_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.tokenize(docs, file_content("piece_bpe_32k.model")).select("row.doc_id", "n_tokens", "ids", "restored")
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.fingerprint_components(table(spark, sf_dir, "documents"))
     return found.select(
@@ -178,8 +211,11 @@ FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 QUERIES = {
     "op1_chat_reply_trees": op1_chat_reply_trees,
     "op2_voronoi_knn_join": op2_voronoi_knn_join,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_cross_polytope": op4_cross_polytope,
     "op5_context_tree_weighting": op5_context_tree_weighting,
+    "op6_feistel_shards": op6_feistel_shards,
+    "op7_sentencepiece_trie": op7_sentencepiece_trie,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_hierarchical_mix": op9_hierarchical_mix,
     "op10_rabin_karp_windows": op10_rabin_karp_windows,
