@@ -128,7 +128,7 @@ class Words:
         return span_hashes(self.buffer, self.starts, self.ends, BYTE_POWERS)
 
 
-def portions(texts: list[bytes], limit: int = 2_000_000):
+def portions(texts: list[bytes], limit: int = 1_000_000):
     """Slices of the list holding about ``limit`` bytes each, so arrays stay small."""
     at, size = 0, 0
     for i, x in enumerate(texts):
