@@ -115,7 +115,7 @@ def mix_sources(
     passes = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
 
     # tokens of every part of every leaf and epoch: a number of rows set by the tree
-    parts = scratch.save(named.select(*leaf, "tokens", "name", passes).groupBy(*leaf, "epoch", part(key(F.col("epoch"))).alias("part")).agg(F.sum("tokens").alias("tokens")))
+    parts = scratch.save(named.select(*leaf, "tokens", "name", passes).groupBy(*leaf, "epoch", part(key(F.col("epoch"))).alias("part")).agg(F.sum("tokens").alias("tokens")), files=8)
     leaves = parts.filter("epoch = 0").groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, weights, fraction, epochs).drop("tokens")
     before = Window.partitionBy(*leaf).orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,13 +123,13 @@ def mix_sources(
     over = F.col("start") + F.col("tokens") > F.col("budget")
     # where each leaf's budget ends: the first part that does not fit as a whole
     ends = started.groupBy(*leaf).agg(F.first("budget").alias("budget"), F.min(F.when(over, F.struct("epoch", "part", "start"))).alias("end"))
-    ends = scratch.save(ends.select(*leaf, "budget", F.col("end.epoch").alias("last"), F.col("end.part").alias("edge"), F.col("end.start").alias("start")))
+    ends = scratch.save(ends.select(*leaf, "budget", F.col("end.epoch").alias("last"), F.col("end.part").alias("edge"), F.col("end.start").alias("start")), files=1)
 
     # only the documents of that part are put in order; equal keys go together
     inside = named.drop("row").join(ends, leaf).withColumn("key", key(F.col("last"))).filter(part(F.col("key")) == F.col("edge"))
     summed = F.col("start") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("key"))
     fits = inside.withColumn("sum", summed).filter(F.col("sum") <= F.col("budget")).groupBy(*leaf).agg(F.max("key").alias("until"))
-    cut = scratch.save(ends.join(fits, leaf, "left").select(*leaf, "last", "edge", "until"))
+    cut = scratch.save(ends.join(fits, leaf, "left").select(*leaf, "last", "edge", "until"), files=1)
 
     copies = named.join(cut, leaf).select("row", *leaf, "name", "tokens", "last", "edge", "until", passes)
     k = key(F.col("epoch"))

@@ -5,10 +5,13 @@ gives a score s(x); ordered thresholds t_1 < ... < t_{K-1} cut the line:
 P(grade >= k | x) = sigmoid(s(x) - t_k).  From these follow the expected grade
 (their sum) and the tail probability used for selection.
 
-Features of a text, each present or not: its distinct lower-case words stripped
-of punctuation, and coarse marks of its shape (how many words end in symbols, are
-upper case, are bars, repeat the word before; how many are distinct; its length).
-Presence instead of frequency, so that one word weighs the same in a long text.
+Features of a text are present or not: its distinct lower-case words stripped of
+punctuation, their prefixes of some lengths (each also as "in two words or more"
+and "in four or more"), and coarse marks of its shape (how many words end in
+symbols, are upper case, are bars, repeat the word before; how many are distinct;
+its length).  Presence instead of frequency, so that one word weighs the same in a
+long text.  Features whose chi-square against the grades could be chance are left
+out before the fit; a corpus has many words that occur once.
 
 ``fit`` looks at no more than ``sample`` labelled documents, the first by a hash
 of their id; that bound is the only one, scoring reads whole texts of all rows.
@@ -29,7 +32,11 @@ from pyspark.sql import functions as F
 
 from .shared import encoded
 
-BITS = 18
+BITS = 22
+#: Lengths, in bytes, of the prefixes of words.
+PREFIXES = (4, 5, 6, 7, 8)
+#: A word or prefix counts again when this many distinct words have it.
+TIMES = (2, 4)
 STRIP = b".,;:!?\"'()[]{}<>*$%&#|-_"
 #: Shares are cut at these places to give marks.
 CUTS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.75)
@@ -52,88 +59,123 @@ def shape_marks(words: list[bytes], distinct: int) -> list[bytes]:
     return marks + [b" length>%d" % i for i in range(n.bit_length())]
 
 
+def place(name: bytes) -> int:
+    return zlib.crc32(name) & ((1 << BITS) - 1)
+
+
 class Features:
-    """Feature indices of texts, or the sum of their weights, with a bounded cache of words."""
+    """Feature indices of texts, with a bounded cache of words.
+
+    ``wanted``: only these indices are of interest.  Most words then have none, and
+    a text costs one look into the cache for each distinct word.
+    """
+
+    def __init__(self, wanted=None, room: int = 400_000):
+        self.wanted = None if wanted is None else frozenset(wanted)
+        self.room, self.cache = room, {}
 
-    def __init__(self, weights: np.ndarray | None = None, room: int = 400_000):
-        self.weights, self.room, self.cache = weights, room, {}
+    def _keys(self, word: bytes) -> tuple[bytes, ...]:
+        keys = (word, *(word[:n] + b" " for n in PREFIXES if len(word) > n))
+        if self.wanted is None:
+            return keys
+        return tuple(k for k in keys if any(i in self.wanted for i in self._places(k, TIMES[-1])))
 
-    def _value(self, word: bytes):
-        i = zlib.crc32(word) & ((1 << BITS) - 1)
-        return i if self.weights is None else float(self.weights[i])
+    @staticmethod
+    def _places(key: bytes, times: int) -> list[int]:
+        return [place(key)] + [place(key + b">%d" % t) for t in TIMES if times >= t]
 
-    def values(self, text: bytes) -> list:
-        """One value per distinct feature: its index, or its weight."""
+    def indices(self, text: bytes) -> list[int]:
+        """Sorted distinct feature indices of a text."""
         words = text.split()
         plain = {w.strip(STRIP) for w in set(text.lower().split())}
-        plain.update(shape_marks(words, len(plain)))
         if len(self.cache) > self.room:
             self.cache.clear()
-        get, out = self.cache.get, []
+        cache, times = self.cache, {}
         for w in plain:
-            v = get(w)
-            if v is None:
-                v = self.cache[w] = self._value(w)
-            out.append(v)
-        return out
+            keys = cache.get(w)
+            if keys is None:
+                keys = cache[w] = self._keys(w)
+            for k in keys:
+                times[k] = times.get(k, 0) + 1
+        found = {i for k, n in times.items() for i in self._places(k, n)}
+        found.update(place(m) for m in shape_marks(words, len(plain)))
+        return sorted(found if self.wanted is None else found & self.wanted)
 
 
 @dataclass
 class Model:
-    """Shared weights (float32, fixed size) and ordered thresholds."""
+    """Shared weights of the features in use, and ordered thresholds."""
 
+    index: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def table(self) -> dict[int, float]:
+        return dict(zip(self.index.tolist(), self.weights.tolist()))
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K - 1, one row per score."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -40, 40)))
 
 
-def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-5) -> Model:
-    """Maximum likelihood by Adam steps over the whole sample; rare words are held back by the ridge.
+def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, chance: float = 60.0, least: int = 6) -> np.ndarray:
+    """Features in at least ``least`` documents whose chi-square against the grades is above ``chance``."""
+    size = 1 << BITS
+    own = np.bincount(grades, minlength=n_grades).astype(np.float64)
+    seen = [np.bincount(np.concatenate([r for r, g in zip(rows, grades) if g == k] or [np.zeros(0, dtype=np.int64)]), minlength=size) for k in range(n_grades)]
+    total = sum(seen)
+    some = np.flatnonzero((total >= least) & (total <= len(rows) - least))
+    t, n, chi = total[some].astype(np.float64), float(len(rows)), np.zeros(len(some))
+    for k in range(n_grades):
+        if own[k]:
+            expected = own[k] * t / n
+            gap = (seen[k][some] - expected) ** 2
+            chi += gap / expected + gap / np.maximum(own[k] - expected, 1e-9)
+    return some[chi > chance]
+
+
+def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 800, rate: float = 0.1, ridge: float = 1e-4, balance: float = 1.0) -> Model:
+    """Maximum likelihood by Adam steps over the whole sample, with a ridge on the weights.
 
-    Grades are weighed to count alike.  Thresholds are kept apart by modelling
-    their gaps as exponentials.
+    A grade weighs its frequency to the power of ``-balance``, so that rare grades
+    are heard.  Thresholds are kept in order by modelling their gaps as exponentials.
     """
-    weights = np.zeros(1 << BITS)
     if not len(rows):
-        return Model(weights.astype(np.float32), np.full(n_grades - 1, -10.0))
-    where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    index = np.concatenate(rows).astype(np.int64)
-    used, place = np.unique(index, return_inverse=True)
-    own = np.bincount(grades, minlength=n_grades)
-    weight = (len(grades) / (np.count_nonzero(own) * np.maximum(own, 1)))[grades]
-    w, first, gaps = np.zeros(len(used)), -1.0, np.zeros(max(0, n_grades - 2))
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(n_grades - 1, -10.0))
+    used = screened(rows, grades, n_grades)
+    at = np.full(1 << BITS, -1, dtype=np.int32)
+    at[used] = np.arange(len(used))
+    kept = [at[r][at[r] >= 0] for r in rows]
+    where = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
+    column = np.concatenate(kept).astype(np.int64)
+    w, first, gaps = np.zeros(len(used)), -1.0, np.zeros(n_grades - 2)
     state = [np.zeros(len(used) + n_grades - 1) for _ in range(2)]
-    # P(grade = g) = P(>= g) - P(>= g + 1)
+    i = np.arange(len(rows))
+    own = np.bincount(grades, minlength=n_grades)
+    heard = (np.maximum(own, 1) ** -balance)[grades]
+    heard /= heard.sum()
     for step in range(1, rounds + 1):
         t = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(where, w[place], len(rows))
+        s = np.bincount(where, w[column], len(rows))
         tail = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40)))
+        # P(grade = g) = P(>= g) - P(>= g + 1)
         edge = np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], axis=1)
         slope = edge * (1 - edge)
-        i = np.arange(len(s))
         p = np.maximum(edge[i, grades] - edge[i, grades + 1], 1e-12)
-        up, low = slope[i, grades] / p, slope[i, grades + 1] / p
-        ds = -weight * (up - low) / len(s)
-        dt = np.zeros(n_grades + 1)
-        np.add.at(dt, grades, weight * up / len(s))
-        np.add.at(dt, grades + 1, -weight * low / len(s))
-        dt = dt[1:n_grades]
+        up, low = heard * slope[i, grades] / p, heard * slope[i, grades + 1] / p
+        dt = (np.bincount(grades, up, n_grades + 1) - np.bincount(grades + 1, low, n_grades + 1))[1:n_grades]
         dgaps = np.cumsum(dt[::-1])[::-1][1:] * np.exp(gaps)
-        g = np.concatenate([np.bincount(place, ds[where], len(used)) + ridge * w, [dt.sum()], dgaps])
+        g = np.concatenate([np.bincount(column, (low - up)[where], len(used)) + ridge * w, [dt.sum()], dgaps])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         w -= move[: len(used)]
         first -= move[len(used)]
         gaps -= move[len(used) + 1 :]
-    weights[used] = w
-    return Model(weights.astype(np.float32), first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    return Model(used, w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, **how) -> Model:
+def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, **how) -> Model:
     """Fit on at most ``sample`` rows of ``grades(id, grade)`` joined with their texts."""
     usable = grades.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     some = usable.select(id_col, F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64(id_col), id_col, "grade").limit(sample)
@@ -143,8 +185,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
     def run(batches):
         f = Features()
         for b in batches:
-            found = [np.array(f.values(x), dtype=np.int32) for x in encoded(b.column(0))]
-            lists = pa.array([np.unique(x) for x in found], pa.list_(pa.int32()))
+            lists = pa.array([f.indices(x) for x in encoded(b.column(0))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists], names=["name", "grade", "features"])
 
     name = F.xxhash64(id_col, "text").alias("name")
@@ -158,20 +199,20 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
 def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row STRUCT of all columns, score, expected_grade, tail ARRAY<DOUBLE>) for every row."""
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 floats and K - 1 thresholds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**22 weights and K - 1 thresholds
 
     def run(batches):
         m = shared.value
-        f = Features(m.weights)
+        weights = m.table()
+        f = Features(weights)
         for b in batches:
-            s = np.array([sum(f.values(x)) for x in encoded(b.column(0).field(text_col))], dtype=np.float64)
+            s = np.array([sum(map(weights.__getitem__, f.indices(x))) for x in encoded(b.column(0).field(text_col))], dtype=np.float64)
             tail = m.tails(s)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s), pa.array(tail.sum(axis=1)), pa.array(list(tail), pa.list_(pa.float64()))],
                 names=["row", "score", "expected_grade", "tail"],
             )
 
-    shape = docs.select(kept).schema["row"].dataType.simpleString()
     return docs.select(kept).mapInArrow(run, _schema(docs, kept))
 
 

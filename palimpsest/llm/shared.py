@@ -44,10 +44,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """Write and reread; ``files`` bounds how many files a small table gets."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -218,7 +219,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     )
     seen = digest(e)
     for _ in range(max_rounds if seen[0] else 0):
-        new = scratch.save(star(star(e, True), False))
+        new = scratch.save(star(star(e, True), False), files=1 + seen[0] // 100_000)
         scratch.drop(e)
         e, before = new, seen
         seen = digest(e)
