@@ -49,26 +49,27 @@ def reply_paths(scratch: Scratch, nodes: DataFrame, best: int = 1) -> DataFrame:
     known = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     exists = known.select(F.col("node").alias("parent")).distinct()
     real = known.join(exists.withColumn("there", F.lit(True)), "parent", "left")
-    jump = scratch.save(
+    start = scratch.save(
         real.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("span"), F.col("score").cast("double").alias("total"))
     )
-    # jumps[i]: the ancestor 2**i above; span and total cover the nodes before it
-    jumps = [jump]
-    limit = jump.count()
-    while jump.filter("up is not null").limit(1).count() and 1 << (len(jumps) - 1) <= limit:
-        above = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
-        jump = scratch.save(
-            jump.join(above, "up", "left").select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        )
-        jumps.append(jump)
-    parents = jumps[0].select(F.col("up").alias("node")).filter("node is not null").distinct()
-    leaves = jump.filter("up is null").join(parents, "node", "left_anti")
+    # jumps[i]: nodes with an ancestor 2**i above them; span and total cover what lies
+    # below it.  A node that has reached its root is done and takes no further part.
+    jumps, done, limit = [start.filter("up is not null")], start.filter("up is null"), start.count()
+    while 1 << (len(jumps) - 1) <= limit and jumps[-1].limit(1).count():
+        live = jumps[-1]
+        above = live.union(done).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
+        step = live.join(above, "up").select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
+        step = scratch.save(step)
+        done = done.union(step.filter("up is null"))
+        jumps.append(step.filter("up is not null"))
+    parents = jumps[0].select(F.col("up").alias("node")).distinct()
+    leaves = done.join(parents, "node", "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
     # every distance below the span is one sum of powers of two: each node once
     path = scratch.save(chosen.select("tree", "rank", F.col("node").alias("leaf"), "node", (F.col("span") - 1).alias("pos")))
     for i in range(len(jumps) - 2, -1, -1):
-        hop = jumps[i].filter("up is not null").select("node", "up")
+        hop = jumps[i].select("node", "up")
         higher = path.join(hop, "node").select("tree", "rank", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << i)).alias("pos"))
         path = scratch.save(path.union(higher.select(*path.columns)))
     return path.select("tree", "leaf", "rank", "pos", "node")
