@@ -49,7 +49,7 @@ def shared_budget(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     later = order.rowsBetween(0, Window.unboundedFollowing)
     leveled = nodes.withColumn("ratio", ratio).select(
-        "*", ((F.col("budget") - F.coalesce(F.sum("capacity").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)).alias("level")
+        "*", F.try_divide(F.col("budget") - F.coalesce(F.sum("capacity").over(earlier), F.lit(0.0)), F.sum("weight").over(later)).alias("level")
     )
     full = (F.col("weight") > 0) & (F.col("ratio") <= F.col("level"))
     of_rest = F.min(F.when((F.col("weight") > 0) & ~full, F.struct("ratio", child, "level"))).over(Window.partitionBy(*parent))
