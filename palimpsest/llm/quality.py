@@ -118,8 +118,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -40, 40)))
 
 
-def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, chance: float = 60.0, least: int = 6) -> np.ndarray:
-    """Features in at least ``least`` documents whose chi-square against the grades is above ``chance``."""
+def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, strict: float = 4.0, least: int = 6) -> np.ndarray:
+    """Features in at least ``least`` documents whose chi-square against the grades is no chance.
+
+    The bar is ``strict`` times the logarithm of the number of features compared;
+    2 would let about one of them pass by chance if documents were independent,
+    and copies make them less so.
+    """
     size = 1 << BITS
     own = np.bincount(grades, minlength=n_grades).astype(np.float64)
     seen = [np.bincount(np.concatenate([r for r, g in zip(rows, grades) if g == k] or [np.zeros(0, dtype=np.int64)]), minlength=size) for k in range(n_grades)]
@@ -131,10 +136,10 @@ def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, chance:
             expected = own[k] * t / n
             gap = (seen[k][some] - expected) ** 2
             chi += gap / expected + gap / np.maximum(own[k] - expected, 1e-9)
-    return some[chi > chance]
+    return some[chi > strict * np.log(len(some) + 1)]
 
 
-def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 800, rate: float = 0.1, ridge: float = 1e-4, balance: float = 1.0) -> Model:
+def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 800, rate: float = 0.1, ridge: float = 1e-4, balance: float = 0.5) -> Model:
     """Maximum likelihood by Adam steps over the whole sample, with a ridge on the weights.
 
     A grade weighs its frequency to the power of ``-balance``, so that rare grades
