@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, U, encoded, mix, portions
+from .shared import Scratch, U, encoded, mix, portions, small_batches
 
 HEAD = np.dtype([("id", "<i8"), ("part", "<i4"), ("used", "<i4")])
 NO_ID = -(2**63)
@@ -129,6 +129,7 @@ def training_order(
     sort; the permutation turns the index into a slot.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the size of the vocabulary
 

@@ -233,7 +233,9 @@ def tokenize(docs, model: bytes, text_col: str = "text"):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    from .shared import encoded, portions
+    from .shared import encoded, portions, small_batches
+
+    small_batches(docs.sparkSession)
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     shared = docs.sparkSession.sparkContext.broadcast(model)

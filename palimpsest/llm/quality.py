@@ -23,14 +23,17 @@ for each.  Without any label all documents get the highest grade.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoded
+from .shared import encoded, small_batches
 
 BITS = 22
 #: Lengths, in bytes, of the prefixes of words.
@@ -43,19 +46,12 @@ CUTS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.75)
 SYMBOLS = frozenset(b"*$%&#!")
 
 
-def shape_marks(words: list[bytes], distinct: int) -> list[bytes]:
-    """Names of the shape features of a text; they start with a space, which no word does."""
-    n = len(words)
+def shape_marks(n: int, distinct: int, symbol: int, upper: int, bar: int, again: int) -> list[bytes]:
+    """Names of the shape features of n words; they start with a space, which no word does."""
     if not n:
         return [b" empty"]
-    shares = {
-        b" symbol": sum(w[-1] in SYMBOLS for w in words) / n,
-        b" upper": sum(len(w) > 1 and w.isupper() for w in words) / n,
-        b" bar": words.count(b"|") / n,
-        b" again": sum(a == b for a, b in zip(words, words[1:])) / n,
-    }
-    marks = [name + b">%d" % i for name, s in shares.items() for i, cut in enumerate(CUTS) if s > cut]
-    marks += [b" varied>%d" % i for i, cut in enumerate(CUTS) if distinct / n > cut]
+    shares = {b" symbol": symbol, b" upper": upper, b" bar": bar, b" again": again, b" varied": distinct}
+    marks = [name + b">%d" % i for name, s in shares.items() for i, cut in enumerate(CUTS) if s / n > cut]
     return marks + [b" length>%d" % i for i in range(n.bit_length())]
 
 
@@ -70,7 +66,7 @@ class Features:
     a text costs one look into the cache for each distinct word.
     """
 
-    def __init__(self, wanted=None, room: int = 400_000):
+    def __init__(self, wanted=None, room: int = 200_000):
         self.wanted = None if wanted is None else frozenset(wanted)
         self.room, self.cache = room, {}
 
@@ -84,21 +80,34 @@ class Features:
     def _places(key: bytes, times: int) -> list[int]:
         return [place(key)] + [place(key + b">%d" % t) for t in TIMES if times >= t]
 
+    def _entry(self, word: bytes) -> tuple:
+        """(stripped word, its keys, ends in a symbol?, upper case?); () where all of it is nothing."""
+        plain = word.lower().strip(STRIP)
+        keys, symbol, upper = self._keys(plain), word[-1] in SYMBOLS, len(word) > 1 and word.isupper()
+        return (plain, keys, symbol, upper) if keys or symbol or upper else ()
+
     def indices(self, text: bytes) -> list[int]:
         """Sorted distinct feature indices of a text."""
         words = text.split()
-        plain = {w.strip(STRIP) for w in set(text.lower().split())}
+        count = Counter(words)
         if len(self.cache) > self.room:
             self.cache.clear()
-        cache, times = self.cache, {}
-        for w in plain:
-            keys = cache.get(w)
-            if keys is None:
-                keys = cache[w] = self._keys(w)
-            for k in keys:
-                times[k] = times.get(k, 0) + 1
+        cache, seen, times, symbol, upper = self.cache, set(), {}, 0, 0
+        for w, n in count.items():
+            e = cache.get(w)
+            if e is None:
+                e = cache[w] = self._entry(w)
+            if e:
+                plain, keys, s, u = e
+                symbol += n * s
+                upper += n * u
+                if keys and plain not in seen:
+                    seen.add(plain)
+                    for k in keys:
+                        times[k] = times.get(k, 0) + 1
         found = {i for k, n in times.items() for i in self._places(k, n)}
-        found.update(place(m) for m in shape_marks(words, len(plain)))
+        again = sum(map(eq, words, islice(words, 1, None)))
+        found.update(map(place, shape_marks(len(words), len(count), symbol, upper, count[b"|"], again)))
         return sorted(found if self.wanted is None else found & self.wanted)
 
 
@@ -182,6 +191,7 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds
 
 def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, **how) -> Model:
     """Fit on at most ``sample`` rows of ``grades(id, grade)`` joined with their texts."""
+    small_batches(docs.sparkSession)
     usable = grades.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     some = usable.select(id_col, F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64(id_col), id_col, "grade").limit(sample)
     # the sample is bounded, so it may be broadcast and its texts are not shuffled
@@ -203,6 +213,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row STRUCT of all columns, score, expected_grade, tail ARRAY<DOUBLE>) for every row."""
+    small_batches(docs.sparkSession)
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**22 weights and K - 1 thresholds
 

@@ -61,6 +61,13 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are long: send fewer of them to Python at once than the 10,000 of the default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, rows)
+
+
 # ------------------------------------------------------------------- text bytes
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null becomes the empty text."""
@@ -156,6 +163,7 @@ def in_blocks(docs: DataFrame, text: str, block_bytes: int = 8_000_000) -> tuple
     rows in great number still spread.  The row rides along whole: extra columns,
     whatever their names, cannot clash with ours.
     """
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / block_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

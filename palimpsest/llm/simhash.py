@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .shared import Scratch, U, Words, encoded, mix, portions, span_hashes, WORD_POWERS
+from .shared import WORD_POWERS, Scratch, U, Words, components, encoded, mix, portions, small_batches, span_hashes
 
 #: Segments of a 64-bit fingerprint: (lowest bit, width).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash(x, size) for x in encoded(b.column(1))], dtype=U)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
@@ -125,8 +126,6 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     marked = scratch.save(fingerprints(docs, id_col, text_col, size))
     least = marked.groupBy("fp").agg(F.min("id").alias("least"))
     links = link_fingerprints(scratch, least)
-    from .shared import components
-
     comp = components(scratch, links)
     named = comp.join(least.withColumnRenamed("fp", "node"), "node")
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -204,9 +203,8 @@ def near_duplicates(
     over are then compared in full, so no bucket is cut short.  Documents that are
     alone do not appear.  Rows with a null id or no words are left alone.
     """
-    from .shared import components
-
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
