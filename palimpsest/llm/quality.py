@@ -39,7 +39,7 @@ BITS = 22
 #: Lengths, in bytes, of the prefixes of words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A word or prefix counts again when this many distinct words have it.
-TIMES = (2, 4)
+TIMES = (1, 2, 4)
 STRIP = b".,;:!?\"'()[]{}<>*$%&#|-_"
 #: Shares are cut at these places to give marks.
 CUTS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.75)
@@ -55,8 +55,9 @@ def shape_marks(n: int, distinct: int, symbol: int, upper: int, bar: int, again:
     return marks + [b" length>%d" % i for i in range(n.bit_length())]
 
 
-def place(name: bytes) -> int:
-    return zlib.crc32(name) & ((1 << BITS) - 1)
+def place(name: bytes, level: int = 0) -> int:
+    """Index of a feature: a hash of its name, then two bits for how often it is met."""
+    return (zlib.crc32(name) & ((1 << BITS) - 1)) << 2 | level
 
 
 class Features:
@@ -66,19 +67,15 @@ class Features:
     a text costs one look into the cache for each distinct word.
     """
 
-    def __init__(self, wanted=None, room: int = 200_000):
+    def __init__(self, wanted=None, room: int = 300_000):
         self.wanted = None if wanted is None else frozenset(wanted)
+        self.names = None if wanted is None else frozenset(i >> 2 for i in self.wanted)
         self.room, self.cache = room, {}
 
-    def _keys(self, word: bytes) -> tuple[bytes, ...]:
-        keys = (word, *(word[:n] + b" " for n in PREFIXES if len(word) > n))
-        if self.wanted is None:
-            return keys
-        return tuple(k for k in keys if any(i in self.wanted for i in self._places(k, TIMES[-1])))
-
-    @staticmethod
-    def _places(key: bytes, times: int) -> list[int]:
-        return [place(key)] + [place(key + b">%d" % t) for t in TIMES if times >= t]
+    def _keys(self, word: bytes) -> tuple[int, ...]:
+        """Hashes of a word and its prefixes, as far as they are of interest."""
+        keys = [place(word) >> 2, *(place(word[:n] + b" ") >> 2 for n in PREFIXES if len(word) > n)]
+        return tuple(keys if self.names is None else [k for k in keys if k in self.names])
 
     def _entry(self, word: bytes) -> tuple:
         """(stripped word, its keys, ends in a symbol?, upper case?); () where all of it is nothing."""
@@ -105,7 +102,7 @@ class Features:
                     seen.add(plain)
                     for k in keys:
                         times[k] = times.get(k, 0) + 1
-        found = {i for k, n in times.items() for i in self._places(k, n)}
+        found = {k << 2 | level for k, n in times.items() for level, least in enumerate(TIMES) if n >= least}
         again = sum(map(eq, words, islice(words, 1, None)))
         found.update(map(place, shape_marks(len(words), len(count), symbol, upper, count[b"|"], again)))
         return sorted(found if self.wanted is None else found & self.wanted)
@@ -134,10 +131,11 @@ def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, strict:
     2 would let about one of them pass by chance if documents were independent,
     and copies make them less so.
     """
-    size = 1 << BITS
     own = np.bincount(grades, minlength=n_grades).astype(np.float64)
-    seen = [np.bincount(np.concatenate([r for r, g in zip(rows, grades) if g == k] or [np.zeros(0, dtype=np.int64)]), minlength=size) for k in range(n_grades)]
-    total = sum(seen)
+    seen = np.zeros((n_grades, 4 << BITS), dtype=np.uint16 if len(rows) < 1 << 16 else np.uint32)
+    for r, g in zip(rows, grades):
+        seen[g, r] += 1  # the features of a row are distinct
+    total = seen.sum(axis=0, dtype=np.int32)
     some = np.flatnonzero((total >= least) & (total <= len(rows) - least))
     t, n, chi = total[some].astype(np.float64), float(len(rows)), np.zeros(len(some))
     for k in range(n_grades):
@@ -157,7 +155,7 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds
     if not len(rows):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(n_grades - 1, -10.0))
     used = screened(rows, grades, n_grades)
-    at = np.full(1 << BITS, -1, dtype=np.int32)
+    at = np.full(4 << BITS, -1, dtype=np.int32)
     at[used] = np.arange(len(used))
     kept = [at[r][at[r] >= 0] for r in rows]
     where = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
@@ -204,18 +202,20 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists], names=["name", "grade", "features"])
 
     name = F.xxhash64(id_col, "text").alias("name")
-    table = rows.select("text", name, "grade").mapInArrow(run, "name bigint, grade int, features array<int>").toArrow().sort_by([("name", "ascending"), ("grade", "ascending")])
+    table = rows.select("text", name, "grade").mapInArrow(run, "name bigint, grade int, features array<int>").toArrow()
+    grade_of = table.column("grade").to_numpy().astype(np.int64)
+    order = np.lexsort((grade_of, table.column("name").to_numpy()))  # the same whatever order rows arrive in
     lists = table.column("features").combine_chunks()
     values, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() if len(lists) else np.zeros(1, dtype=np.int64)
-    features = [values[a - at[0] : b - at[0]] for a, b in zip(at, at[1:])]
-    return fit_arrays(features, table.column("grade").to_numpy().astype(np.int64), n_grades, **how)
+    features = [values[at[k] - at[0] : at[k + 1] - at[0]] for k in order]
+    return fit_arrays(features, grade_of[order], n_grades, **how)
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row STRUCT of all columns, score, expected_grade, tail ARRAY<DOUBLE>) for every row."""
     small_batches(docs.sparkSession)
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**22 weights and K - 1 thresholds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**24 weights and K - 1 thresholds
 
     def run(batches):
         m = shared.value
