@@ -193,12 +193,41 @@ def group_sizes(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # --------------------------------------------------------- connected components
+#: Edges that one task contracts at once.
+CONTRACTED = 200_000
+
+
+def _contract(batches):
+    """The edges of one partition as stars around the smallest node of each component."""
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if kind is not None:
+        nodes = [x for x in parent if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["a", "b"])
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that can be reached, for all nodes of ``edges(a, b)``.
 
-    Alternates large-star and small-star steps (each a grouped minimum and a join
-    on the node, no group is gathered) until the edge set stays as it is.  Nodes
-    may be of any orderable type; loops and repeated edges are harmless.
+    Each partition first contracts the edges it holds, a bounded number.  Then
+    large-star and small-star steps alternate (each a grouped minimum and a join on
+    the node, no group is gathered) until the edge set stays as it is; edges that
+    came as one partition are done before.  Nodes may be of any orderable type;
+    loops and repeated edges are harmless.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -220,21 +249,21 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    e = scratch.save(
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    seen = digest(e)
-    for _ in range(max_rounds if seen[0] else 0):
-        new = scratch.save(star(star(e, True), False), files=1 + seen[0] // 100_000)
+    raw = scratch.save(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    parts = -(-raw.count() // CONTRACTED)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema)
+    e = scratch.save(raw.coalesce(max(1, parts)).mapInArrow(_contract, shape))
+    scratch.drop(raw)
+    seen = digest(e) if parts > 1 else None
+    for _ in range(max_rounds if parts > 1 else 0):
+        new = scratch.save(star(star(e, True), False), files=1 + seen[0] // CONTRACTED)
         scratch.drop(e)
         e, before = new, seen
         seen = digest(e)
         if seen == before:
             break
     else:
-        if seen[0]:
+        if parts > 1:
             raise RuntimeError("connected components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -192,6 +192,7 @@ def near_duplicates(
     max_bits: int = 48,
     crowded: int = 48,
     rounds: int = 2,
+    part_rows: int = 2_000,
 ) -> DataFrame:
     """(id, group): documents that repeat another, with the smallest id of their group.
 
@@ -297,11 +298,42 @@ def near_duplicates(
         gone = components(scratch, links).filter("node != root").select(F.col("node").alias("id"))
         alive = scratch.save(marked.join(gone, "id", "left_anti"))
         scratch.drop(k)
+    def crowd_pairs(key, table):
+        """Candidate pairs of a crowded bucket, or between two parts of one.
+
+        A pair that meets in several buckets comes out of the one with the least key.
+        """
+        own, lo, hi = (k.as_py() for k in key)
+        fp = np.stack([table.column(f"f{i}").to_numpy().view(U) for i in range(LANES)], axis=1)
+        part = table.column("part").to_numpy()
+        row, found = long_keys(fp)
+        keys: list[set] = [set() for _ in range(len(fp))]
+        for r, x in zip(row.tolist(), found.tolist()):
+            keys[r].add(x)
+        ids = table.column("id").combine_chunks()
+        a, b = [], []
+        for i in range(len(fp)):
+            near_by = np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1) <= max_bits
+            if lo != hi:
+                near_by &= part[i + 1 :] != part[i]
+            for j in (np.flatnonzero(near_by) + i + 1).tolist():
+                if min(keys[i] & keys[j]) == own:
+                    a.append(i)
+                    b.append(j)
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
     k = buckets(alive)
-    sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    k = k.join(sizes, "key", "left_semi")
-    pairs = k.alias("x").join(k.alias("y"), "key").filter((F.col("x.id") < F.col("y.id")) & near("x", "y"))
-    ok = verified(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    few = k.join(sizes.filter(F.col("n") <= crowded), "key", "left_semi")
+    pairs = few.alias("x").join(few.alias("y"), "key").filter((F.col("x.id") < F.col("y.id")) & near("x", "y"))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # a crowded bucket is dealt into parts, and each two of its parts meet in one task
+    many = k.join(sizes.filter(F.col("n") > crowded), "key")
+    n_parts = F.ceil(F.col("n") / F.lit(part_rows)).cast("int")
+    many = many.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    met = many.groupBy("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).applyInArrow(crowd_pairs, f"a {kind}, b {kind}")
+    pairs = pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    ok = verified(pairs)
     links = ok if links is None else links.union(ok)
     groups = components(scratch, links)
     rep = first.withColumnRenamed("rep", "node").join(groups, "node", "left").select("h", F.coalesce("root", "node").alias("group"))
