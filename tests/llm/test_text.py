@@ -105,7 +105,11 @@ def test_links_in_crowded_buckets(spark, monkeypatch, small):
     assert all(((a ^ b) % (1 << 64)).bit_count() <= 2 for a, b in edges)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("size", [200_000, 40])
+def test_components(spark, monkeypatch, size):
+    from palimpsest.llm import shared
+
+    monkeypatch.setattr(shared, "CONTRACTED", size)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     got = {r["node"]: r["root"] for r in components(Scratch(spark), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -114,7 +118,8 @@ def test_components(spark):
     assert components(Scratch(spark), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("how", [{"crowded": 4}, {"crowded": 48}, {"crowded": 2, "rounds": 0, "part_rows": 3}])
+def test_near_duplicates(spark, how):
     rng = random.Random(11)
     base = [[f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(200)] for _ in range(12)]
     rows, n = [], 0
@@ -129,7 +134,7 @@ def test_near_duplicates(spark):
         n += 1
     rows += [(1000, rows[0][1]), (1001, rows[0][1].upper()), (1002, None), (1003, ""), (None, rows[0][1])]
     rows += [(2000 + k, " ".join(f"x{rng.randrange(10**6)}" for _ in range(120))) for k in range(15)]
-    got = {r["id"]: r["group"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), crowded=4).collect()}
+    got = {r["id"]: r["group"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), **how).collect()}
     for k in range(12):
         assert {got.get(i) for i in range(7 * k, 7 * k + 7)} == {7 * k}
     assert got[1000] == 0 and got[1001] == 0
