@@ -32,6 +32,8 @@ from itertools import chain
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Words with the spaces before them, and spaces that nothing follows.
+RUNS = re.compile(" *[^ ]+| +")
 
 
 class Vocabulary:
@@ -47,6 +49,8 @@ class Vocabulary:
         self.identity = m.normalizer_spec.name == "identity" and not m.normalizer_spec.precompiled_charsmap
         self.collapse = m.normalizer_spec.remove_extra_whitespaces
         self.prefix = m.normalizer_spec.add_dummy_prefix
+        if not self.prefix:
+            raise ValueError("only models that put a space in front of a text are supported")
         if not self.identity or self.collapse or not m.normalizer_spec.escape_whitespaces:
             raise ValueError("the model normalises texts, which is not supported")
         self.text = [p.piece for p in m.pieces]
@@ -60,8 +64,9 @@ class Vocabulary:
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces reach across words, which is not supported")
-        # a line feed that occurs in no longer piece stands alone
-        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if "\n" in inner else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        # a line feed that occurs in no longer piece stands alone, so lines are cut apart
+        self.lines = "\n" not in inner
+        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     # ------------------------------------------------------------- merge models
     def merged(self, text: str) -> list[str]:
@@ -78,13 +83,15 @@ class Vocabulary:
 class Encoder:
     """Encodes and decodes with a bounded memory of words seen before.
 
-    A word is what stands between single spaces, or, where spaces are doubled, a
-    run of spaces with what follows it.
+    A word is what stands between single spaces or line feeds, or, where spaces are
+    doubled, a run of spaces with what follows it.
     """
 
     def __init__(self, vocabulary: Vocabulary, room: int = 400_000, pair_room: int = 1_000_000):
         self.v, self.room, self.pair_room = vocabulary, room, pair_room
+        # what was seen lately, and before that; a word that comes back moves up
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict = {}
         self.texts = [self._bytes_of(i) for i in range(len(vocabulary.text))]
         # pieces that merging would not leave as they are can end no segmentation
@@ -94,9 +101,10 @@ class Encoder:
         ends: dict[str, set[int]] = {}
         for p in self.usable:
             if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        #: lengths of the longer pieces by their last two characters, longest first
-        self.lengths = {k: tuple(sorted(x, reverse=True)) for k, x in ends.items()}
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: lengths of the longer pieces by the last three characters of a text, longest
+        #: first; endings met with in texts are added, those of two characters at the end
+        self.ends, self.lengths = ends, {}
 
     # ---------------------------------------------------------------- the search
     def _fits(self, a: str, i, b: str, j) -> bool:
@@ -108,22 +116,36 @@ class Encoder:
             self.pairs[i << 24 | j] = ok
         return ok
 
-    def _extend(self, unit: str, starts: list, last: list, scores: list) -> None:
+    def _sizes(self, tail: str) -> tuple[int, ...]:
+        if len(self.lengths) > self.pair_room:
+            self.lengths.clear()
+        found = set(self.ends.get(tail, ()))
+        if len(tail) > 1 and tail[-2:] in self.usable:
+            found.add(2)
+        out = self.lengths[tail] = tuple(sorted(found, reverse=True))
+        return out
+
+    def _extend(self, unit: str, starts: list, last: list, paths: list, scores: list) -> None:
         """Append the cells of the prefixes of ``unit`` that are not there yet.
 
-        A cell is where the last piece of the best segmentation starts, its id (none
-        for a character that the vocabulary lacks) and, for unigrams, the score.
+        A cell is where the last piece of the best segmentation starts, the id of that
+        piece (none for a character that the vocabulary lacks), all ids so far and, for
+        unigrams, the score.
         """
         usable, lengths, pairs = self.usable.get, self.lengths.get, self.pairs.get
         merging, score = self.v.kind == BPE, self.v.score
         for end in range(len(starts), len(unit) + 1):
-            single = usable(unit[end - 1])
-            start, found, best = end - 1, single, None
+            start, found, best = end - 1, None, None
             if not merging:
-                best = scores[end - 1] + (self.v.lowest if single is None else score[single])
-            for n in lengths(unit[end - 2 : end], ()) if end > 1 else ():
+                found = usable(unit[end - 1])
+                best = scores[end - 1] + (self.v.lowest if found is None else score[found])
+            tail = unit[end - 3 : end] if end > 2 else unit[:end]
+            sizes = lengths(tail)
+            for n in self._sizes(tail) if sizes is None else sizes:
                 at = end - n
-                i = usable(unit[at:end]) if at >= 0 else None
+                if at < 0:
+                    continue
+                i = usable(unit[at:end])
                 if i is None:
                     continue
                 if merging:
@@ -139,13 +161,17 @@ class Encoder:
                 s = scores[at] + score[i]
                 if s > best or s == best and at < start:
                     start, found, best = at, i, s
+            else:
+                if merging:
+                    found = usable(unit[end - 1])
             starts.append(start)
             last.append(found)
+            paths.append(paths[start] + ((found,) if found is not None else self._unlisted(unit[start:end])))
             scores.append(best)
 
-    def segment(self, units: set[str]) -> dict[str, list[int]]:
+    def segment(self, units: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct units, in sorted order over shared prefixes."""
-        starts, last, scores = [0], [None], [0.0]
+        starts, last, paths, scores = [0], [None], [()], [0.0]
         before, found = "", {}
         for unit in sorted(units):
             same = 0
@@ -153,52 +179,61 @@ class Encoder:
                 if a != b:
                     break
                 same += 1
-            del starts[same + 1 :], last[same + 1 :], scores[same + 1 :]
-            self._extend(unit, starts, last, scores)
+            same += 1
+            del starts[same:], last[same:], paths[same:], scores[same:]
+            self._extend(unit, starts, last, paths, scores)
             before = unit
-            ids, end = [], len(unit)
-            while end:
-                start, i = starts[end], last[end]
-                if i is not None:
-                    ids.append(i)
-                else:
-                    ids += reversed(self._unlisted(unit[start:end]))
-                end = start
-            ids.reverse()
-            found[unit] = ids
+            found[unit] = paths[-1]
         return found
 
-    def _unlisted(self, piece: str) -> list[int]:
-        found = [self.v.bytes.get(b) for b in piece.encode()]
-        return [self.v.unknown] if None in found else found
+    def _unlisted(self, piece: str) -> tuple[int, ...]:
+        found = tuple(self.v.bytes.get(b) for b in piece.encode())
+        return (self.v.unknown,) if None in found else found
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > self.room:
-            self.known.clear()
-        mark = lambda w: w.replace(" ", MARK) if w[:1] == " " else MARK + w
-        cut = {w: self.v.units.findall(mark(w)) for w in words.difference(self.known)}
+            self.older, fresh = self.known, self.older
+            fresh.clear()
+            self.known = fresh
+        back = [(w, ids) for w in words.difference(self.known) if (ids := self.older.get(w)) is not None]
+        self.known.update(back)
+        mark = lambda w: w.replace(" ", MARK) if w[0] == " " else MARK + w
+        units = self.v.units.findall
+        cut = {
+            w: ["\n", *units(w[1:])] if self.v.lines and w[0] == "\n" else units(mark(w)) if w[0] == " " or MARK in w else [MARK + w]
+            for w in words.difference(self.known)
+        }
         collecting = gc.isenabled()
         gc.disable()  # many small objects without cycles
         try:
             found = self.segment({u for c in cut.values() for u in c})
             for w, c in cut.items():
-                self.known[w] = tuple(found[c[0]]) if len(c) == 1 else tuple(i for u in c for i in found[u])
+                self.known[w] = found[c[0]] if len(c) == 1 else tuple(i for u in c for i in found[u])
         finally:
             if collecting:
                 gc.enable()
 
     # ----------------------------------------------------------------- interface
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split, get = [], self.known.__getitem__
-        for t in texts:
-            if not t:
-                split.append([])
+    def _words(self, text: str) -> list[str]:
+        """Keys of what is known: ``word`` after one space, ``  word`` as it stands, ``\\nword`` after a line feed."""
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n") if self.v.lines else [text]):
+            parts = line.split(" ")
+            if "" not in parts:
+                if k:
+                    parts[0] = "\n" + parts[0]
+                out += parts
                 continue
-            words = t.split(" ")
-            if not self.v.prefix or "" in words:
-                words = [w[1:] if w[:1] == " " and w[1:2] not in (" ", "") else w for w in re.findall(r" *[^ ]+| +", (" " if self.v.prefix else "") + t)]
-            split.append(words)
+            runs = RUNS.findall(line if k else " " + line)
+            if k:
+                out.append("\n" + (runs.pop(0) if runs and runs[0][0] != " " else ""))
+            out += [r[1:] if r[1:2] not in (" ", "") else r for r in runs]
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        split = [self._words(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(split)))
+        get = self.known.__getitem__
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
     def _bytes_of(self, i: int) -> bytes:
@@ -213,7 +248,7 @@ class Encoder:
         n = len(self.texts)
         raw = b"".join([self.texts[i] for i in ids if 0 <= i < n])
         text = raw.decode("utf-8", "replace")
-        return text[1:] if self.v.prefix and text.startswith(" ") else text
+        return text[1:] if text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
