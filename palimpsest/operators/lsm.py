@@ -197,18 +197,27 @@ def merge_rule(pairs: DataFrame) -> DataFrame:
     )
 
 
-def output_chunks(merged: DataFrame, capacity: int) -> DataFrame:
-    """(chunk, lo, hi, n): merged records cut into runs of ``capacity`` records.
+def numbered(rows: DataFrame, by: str, name: str = "place", parts: int = 64) -> DataFrame:
+    """Adds ``name``: the place of each row, from 0, in the order of a numeric column of distinct values.
 
-    Records are numbered without one global sort: each part of a range partition
-    is numbered alone and shifted by what the parts before it hold.
+    Quantiles, at most ``parts`` numbers, cut the rows into ranges; each range is
+    numbered alone and shifted by what the ranges before it hold, so no task sorts
+    all rows and the cuts are the same wherever they are used.
     """
-    parts = merged.select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    shift = sizes.withColumn("shift", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
-    numbered = parts.withColumn("place", place).join(shift, "part").select("key", int_div(F.col("place") + F.col("shift"), capacity).alias("chunk"))
-    return numbered.groupBy("chunk").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(by, shares, 10_000).alias("cuts")).first()["cuts"] or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    dealt = rows.withColumn("part", part)
+    shift = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", shift.alias("shift"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(sizes), "part").withColumn(name, F.col("own") + F.col("shift")).drop("part", "own", "shift")
+
+
+def output_chunks(merged: DataFrame, capacity: int) -> DataFrame:
+    """(chunk, lo, hi, n): merged records cut into runs of ``capacity`` records."""
+    chunk = numbered(merged.select("key"), "key").select("key", int_div(F.col("place"), capacity).alias("chunk"))
+    return chunk.groupBy("chunk").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
 
 
 def leveled(ranges: DataFrame, l0: int = 4, growth: int = 10, deepest: int = 5) -> DataFrame:

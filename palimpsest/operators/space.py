@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import int_div
+from .lsm import numbered
 
 
 def all_free(spark: SparkSession, n: int) -> DataFrame:
@@ -66,15 +67,13 @@ def net_edits(ops: DataFrame, tx: Column) -> DataFrame:
 def islands(ids: DataFrame) -> DataFrame:
     """(first, last, n): maximal runs of consecutive ``id`` values.
 
-    A run begins where the id before is missing.  Runs are numbered by a join
-    instead of one global window: a begin and an end each look for their neighbour,
-    and the sorted begins and ends pair up by their rank.
+    A run begins where the id before is missing and ends where the one after is;
+    begins and ends pair up by their place in order, which no single task sorts.
     """
     d = ids.select("id").distinct()
     begins = d.join(d.select((F.col("id") + 1).alias("id")), "id", "left_anti").select(F.col("id").alias("first"))
     ends = d.join(d.select((F.col("id") - 1).alias("id")), "id", "left_anti").select(F.col("id").alias("last"))
-    number = lambda c: F.row_number().over(Window.orderBy(c))  # noqa: E731  one row for each run
-    return begins.withColumn("k", number("first")).join(ends.withColumn("k", number("last")), "k").select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
+    return numbered(begins, "first", "k").join(numbered(ends, "last", "k"), "k").select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 # ------------------------------------------------------------------ logs of chunks
