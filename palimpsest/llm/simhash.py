@@ -199,9 +199,9 @@ def near_duplicates(
     Equal texts are grouped first; their smallest id stands for them.  Candidates
     share a key of the long fingerprint and differ in at most ``max_bits`` of its
     192 bits; a candidate pair is linked if the Jaccard similarity of its word
-    shingles reaches ``similarity``.  Buckets of more than ``crowded`` documents
-    first collapse onto their most central members, ``rounds`` times; those left
-    over are then compared in full, so no bucket is cut short.  Documents that are
+    shingles reaches ``similarity``.  Members of buckets of more than ``crowded``
+    documents are first compared with the most central ones, ``rounds`` times; then
+    all pairs are but those whose documents are linked already.  Documents that are
     alone do not appear.  Rows with a null id or no words are left alone.
     """
     spark = docs.sparkSession
@@ -281,7 +281,7 @@ def near_duplicates(
         ids = table.column("id").combine_chunks()
         return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b)))})
 
-    links = None
+    links = owner = None
     alive = marked
     for _ in range(rounds):
         k = buckets(alive)
@@ -295,8 +295,9 @@ def near_duplicates(
         hot = k.join(sizes, "key").withColumn("part", F.when(F.col("n") > 100_000, part).otherwise(F.lit(0))).drop("n")
         ok = verified(hot.groupBy("key", "part").applyInArrow(leaders, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = ok if links is None else scratch.save(links.union(ok))
-        gone = components(scratch, links).filter("node != root").select(F.col("node").alias("id"))
-        alive = scratch.save(marked.join(gone, "id", "left_anti"))
+        # roots alone seek further leaders; the others stay candidates below
+        owner = scratch.save(components(scratch, links).filter("node != root").select(F.col("node").alias("id"), F.col("root").alias("comp")))
+        alive = scratch.save(marked.join(owner, "id", "left_anti"))
         scratch.drop(k)
     def crowd_pairs(key, table):
         """Candidate pairs of a crowded bucket, or between two parts of one.
@@ -306,6 +307,7 @@ def near_duplicates(
         own, lo, hi = (k.as_py() for k in key)
         fp = np.stack([table.column(f"f{i}").to_numpy().view(U) for i in range(LANES)], axis=1)
         part = table.column("part").to_numpy()
+        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
         row, found = long_keys(fp)
         keys: list[set] = [set() for _ in range(len(fp))]
         for r, x in zip(row.tolist(), found.tolist()):
@@ -314,6 +316,7 @@ def near_duplicates(
         a, b = [], []
         for i in range(len(fp)):
             near_by = np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1) <= max_bits
+            near_by &= comp[i + 1 :] != comp[i]
             if lo != hi:
                 near_by &= part[i + 1 :] != part[i]
             for j in (np.flatnonzero(near_by) + i + 1).tolist():
@@ -322,10 +325,11 @@ def near_duplicates(
                     b.append(j)
         return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
-    k = buckets(alive)
+    k = buckets(marked)
+    k = k.withColumn("comp", F.col("id")) if owner is None else k.join(owner, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     few = k.join(sizes.filter(F.col("n") <= crowded), "key", "left_semi")
-    pairs = few.alias("x").join(few.alias("y"), "key").filter((F.col("x.id") < F.col("y.id")) & near("x", "y"))
+    pairs = few.alias("x").join(few.alias("y"), "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     # a crowded bucket is dealt into parts, and each two of its parts meet in one task
     many = k.join(sizes.filter(F.col("n") > crowded), "key")

@@ -142,6 +142,37 @@ def test_near_duplicates(spark, how):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def near_groups(rows, similarity=0.8):
+    """Groups of documents by brute force over five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    joined = {x for e in links for x in e}
+    return {k: v for k, v in classes(set(sets), links).items() if k in joined}
+
+
+def test_members_of_a_component_stay_candidates(spark):
+    """Chains in which only neighbours overlap by 0.8; each is one group in a crowded bucket too."""
+    rng = random.Random(23)
+    rows = []
+    for chain in range(6):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        places = rng.sample(range(3, 197, 4), 44)
+        ids = rng.sample(range(100 * chain, 100 * chain + 12), 12)
+        for step, i in enumerate(ids):
+            if step:
+                for p in places[4 * step - 4 : 4 * step]:
+                    w[p] = f"n{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+    want = near_groups(rows)
+    assert len(set(want.values())) == 6 and len(want) == 72
+    for crowded in (3, 48):
+        got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), crowded=crowded)
+        assert {r["id"]: r["group"] for r in got.collect()} == want
+
+
 # -------------------------------------------------------------------------- windows
 def plain_cut(rows, width):
     lists = [(i, (t or "").encode().split()) for i, t in rows]
