@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found by Golay-code fuzzy hashing.
+"""SimHash near-duplicates found by Golay-code fuzzy hashing, and exact ones by shingles.
 
 ``fingerprints``       one 64-bit SimHash per text
 ``link_fingerprints``  components of fingerprints that differ in few bits, exactly
@@ -12,6 +12,7 @@ fingerprint and are linked once, not pairwise.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -21,7 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .shared import WORD_POWERS, Scratch, U, Words, components, encoded, mix, portions, small_batches, span_hashes
+from .shared import (
+    WORD_POWERS,
+    Scratch,
+    U,
+    Words,
+    bucket_bits,
+    bucket_edges,
+    components,
+    encoded,
+    group_sizes,
+    in_blocks,
+    small_batches,
+    span_hashes,
+)
 
 #: Segments of a 64-bit fingerprint: (lowest bit, width).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -135,43 +149,6 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 # -------------------------------------------------- groups by shingle similarity
-#: Words of the long fingerprint; 192 bits make 8 Golay segments and 12 exact parts.
-LANES = 3
-EXACT_BITS, EXACT_PARTS, GOLAY_PARTS = 16, 12, 8
-
-
-def long_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """(n, 3) SimHash over the distinct lower-case words of each text.
-
-    A text that differs in a fiftieth of its words keeps nine tenths of its
-    five-word shingles but almost all of its words, so the words give the steadier
-    bits; the shingles decide afterwards.
-    """
-    out = np.zeros((len(texts), LANES), dtype=U)
-    for lo, hi in portions(texts):
-        w = Words([x.lower() for x in texts[lo:hi]])
-        h = w.hashes()
-        for i in range(hi - lo):
-            own = np.unique(h[w.first[i] : w.first[i + 1]])
-            for lane in range(LANES):
-                out[lo + i, lane] = majority(mix(own + U(lane + 1)))
-    return out
-
-
-def long_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): each exact 16-bit part with the Golay keys of one 23-bit segment."""
-    bits = np.unpackbits(np.ascontiguousarray(fp, dtype="<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(np.int64)
-    weigh = lambda at, n: bits[:, at : at + n] @ (1 << np.arange(n))
-    found = []
-    segments = [golay.fuzzy_keys(weigh(23 * j, 23)) for j in range(GOLAY_PARTS)]
-    for i in range(EXACT_PARTS):
-        exact = weigh(EXACT_BITS * i, EXACT_BITS)
-        j = (EXACT_BITS * i // 23 + 4) % GOLAY_PARTS  # a segment apart from the exact part
-        row, index = segments[j]
-        found.append((row, (i << 40) | (exact[row] << golay.DATA) | index))
-    return np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found])
-
-
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the shingles of lower-case words; fewer words: one for all."""
     w = Words([text.lower()])
@@ -183,74 +160,131 @@ def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     return np.unique(span_hashes(h, at, at + min(size, len(h)), WORD_POWERS))
 
 
+def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(h, node, n, pos, often): shingles by which a text meets all that are similar to it.
+
+    Let every text order its n shingles by how often the corpus holds them, then by
+    hash.  Two texts that reach the similarity share at least ceil(similarity * n)
+    of them, so the first one they share is among the n - ceil(similarity * n) + 1
+    first of either, at ``pos``.  Those that occur once in the corpus are left out.
+    ``often`` is the logarithm of the count; ``texts(node, text)`` may repeat texts.
+    """
+    blocks, n_blocks = in_blocks(texts, "text")
+    bits = bucket_bits(n_blocks, 1_300_000)
+
+    def sets_of(table: pa.Table) -> dict[bytes, np.ndarray]:
+        row = table.column("row").combine_chunks()
+        out: dict[bytes, np.ndarray] = {}
+        if len(row):
+            for node, x in zip(row.field("node").to_pylist(), encoded(row.field("text"))):
+                if node not in out:
+                    out[node] = shingle_set(x, size)
+        return out
+
+    def keys_of(sets: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h = np.sort(np.concatenate([np.zeros(0, dtype=U), *sets.values()]))
+        keys, at = group_sizes(h)
+        return keys, np.diff(np.append(at, len(h))).astype(np.uint32)
+
+    def ask(key, table):
+        keys, n = keys_of(sets_of(table))
+        edges = bucket_edges(keys, bits)
+        used = np.flatnonzero(np.diff(edges))
+        return pa.table(
+            {
+                "bucket": pa.array(used.astype(np.int32)),
+                "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
+                "keys": pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
+                "n": pa.array([n[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
+            }
+        )
+
+    def count(key, table):
+        blobs = [np.frombuffer(x, dtype=U) for x in table.column("keys").to_pylist()]
+        h = np.concatenate(blobs)
+        n = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("n").to_pylist()])
+        order = np.argsort(h)
+        keys, at = group_sizes(h[order])
+        often = np.minimum(255, 8 * np.log2(np.add.reduceat(n[order].astype(np.int64), at))).astype(np.uint8)
+        return pa.table(
+            {
+                "bucket": table.column("bucket"),
+                "block": table.column("block"),
+                "often": pa.array([often[np.searchsorted(keys, k)].tobytes() for k in blobs], pa.binary()),
+            }
+        )
+
+    def emit(key, left, right):
+        sets = sets_of(left)
+        keys, _ = keys_of(sets)
+        answers = sorted(zip(right.column("bucket").to_pylist(), right.column("often").to_pylist()))
+        often = np.frombuffer(b"".join(x for _, x in answers), dtype=np.uint8)
+        nodes, found = [], [np.zeros((0, 4), dtype=np.int64)]
+        for node, h in sets.items():
+            if not len(h):
+                continue
+            c = often[np.searchsorted(keys, h)]
+            order = np.lexsort((h.view(np.int64), c))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+            pos = np.flatnonzero(c[order])
+            order = order[pos]
+            nodes += [node] * len(pos)
+            found.append(np.stack([h[order].view(np.int64), np.full(len(pos), len(h)), pos, c[order].astype(np.int64)], axis=1))
+        h, n, pos, c = np.concatenate(found).T
+        return pa.table({"h": pa.array(h), "node": pa.array(nodes, pa.binary()), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "often": pa.array(c.astype(np.int32))})
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, n binary")
+    answers = asked.groupBy("bucket").applyInArrow(count, "bucket int, block int, often binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, "h bigint, node binary, n int, pos int, often int")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 5,
     similarity: float = 0.8,
-    max_bits: int = 48,
     crowded: int = 48,
     rounds: int = 2,
     part_rows: int = 2_000,
 ) -> DataFrame:
     """(id, group): documents that repeat another, with the smallest id of their group.
 
-    Equal texts are grouped first; their smallest id stands for them.  Candidates
-    share a key of the long fingerprint and differ in at most ``max_bits`` of its
-    192 bits; a candidate pair is linked if the Jaccard similarity of its word
-    shingles reaches ``similarity``.  Members of buckets of more than ``crowded``
-    documents are first compared with the most central ones, ``rounds`` times; then
-    all pairs are but those whose documents are linked already.  Documents that are
-    alone do not appear.  Rows with a null id or no words are left alone.
+    Equal texts are one node.  Two nodes are linked exactly if the Jaccard similarity
+    of their word shingles reaches ``similarity``, wherever their words differ: the
+    candidates come from an exact prefix filter (``shared_prefixes``), and the sets
+    decide.  Members of buckets of more than ``crowded`` texts are first compared
+    with one of them, ``rounds`` times; then all pairs of a bucket are but those
+    linked already, in parts of ``part_rows``.  Documents that are alone do not
+    appear.  Rows with a null id or no words are left alone.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    exact = scratch.save(
-        rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    )
-    first = exact.groupBy("h").agg(F.min("id").alias("rep"))
-
-    def mark(batches):
-        for b in batches:
-            fp = long_fingerprints(encoded(b.column(1)))
-            ok = fp.any(axis=1)
-            arrays = [b.column(0).filter(pa.array(ok))] + [pa.array(fp[ok, i].view(np.int64)) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "f0", "f1", "f2"])
-
-    reps = first.select(F.col("rep").alias("id"))
-    marked = scratch.save(rows.join(reps, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(mark, f"id {kind}, f0 bigint, f1 bigint, f2 bigint"))
-
-    def keyed(batches):
-        for b in batches:
-            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(U) for i in (1, 2, 3)], axis=1)
-            if len(fp):
-                row, key = long_keys(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key)] + [b.column(i).take(pa.array(row)) for i in range(4)], names=["key", "id", "f0", "f1", "f2"])
+    text = F.col(text_col).cast("string")
+    node = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), node.alias("node")).filter("id is not null")
+    exact = scratch.save(rows.select("id", "node"))
+    texts = rows.filter("node is not null").select("node", "text")
 
-    key_schema = f"key bigint, id {kind}, f0 bigint, f1 bigint, f2 bigint"
+    def first_shared():
+        """Whether a and b, at their places in one bucket, can reach the similarity.
 
-    def buckets(alive: DataFrame) -> DataFrame:
-        k = alive.mapInArrow(keyed, key_schema)
-        return scratch.save(k)
-
-    def near(a: str, b: str):
-        return sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(LANES)), F.lit(0)) <= max_bits
+        Judged at the first shingle they share: all others come after it in both.
+        """
+        rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+        return rest * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose shingles overlap enough; texts travel once per document."""
         pairs = scratch.save(pairs.distinct())
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
         def sets(batches):
             for b in batches:
                 blobs = [shingle_set(x, size).tobytes() for x in encoded(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["node", "s"])
 
-        s = scratch.save(rows.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, f"id {kind}, s binary"))
+        s = scratch.save(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node binary, s binary"))
 
         def judge(batches):
             for b in batches:
@@ -258,89 +292,51 @@ def near_duplicates(
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                     x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= similarity * (len(x) + len(y) - both))
+                    keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        met = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        out = scratch.save(met.select("a", "b", "sa", "sb").mapInArrow(judge, f"a {kind}, b {kind}"))
+        met = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        out = scratch.save(met.select("a", "b", "sa", "sb").mapInArrow(judge, "a binary, b binary"))
         scratch.drop(s, pairs)
         return out
 
-    def leaders(key, table):
-        """Pairs of each member with the members nearest to the majority of the bucket's bits."""
-        fp = np.stack([table.column(f"f{i}").to_numpy().view(U) for i in range(LANES)], axis=1)
-        centre = np.array([majority(fp[:, i]) for i in range(LANES)], dtype=U)
-        far = np.bitwise_count(fp ^ centre).sum(axis=1)
-        chosen = np.argsort(far, kind="stable")[:2]
-        a, b = [], []
-        for c in chosen:
-            hit = np.flatnonzero(np.bitwise_count(fp ^ fp[c]).sum(axis=1) <= max_bits)
-            hit = hit[hit != c]
-            a.append(np.full(len(hit), c))
-            b.append(hit)
-        ids = table.column("id").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b)))})
+    # shingles that bring the same texts together are one bucket, that of the first of them
+    found = scratch.save(shared_prefixes(texts, size, similarity).distinct())
+    lists = found.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least"), F.min("often").alias("often"))
+    kept = lists.filter("m > 1").groupBy("m", "x", "least").agg(F.min(F.struct("often", "h")).alias("first")).select(F.col("first.h").alias("h"), "m")
+    buckets = scratch.save(found.select("h", "node", "n", "pos").join(kept, "h"))
+    scratch.drop(found)
+
+    def owned(owner: DataFrame | None) -> DataFrame:
+        """The buckets with the component of each member."""
+        if owner is None:
+            return buckets.withColumn("comp", F.col("node"))
+        return buckets.join(owner, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     links = owner = None
-    alive = marked
-    for _ in range(rounds):
-        k = buckets(alive)
-        big = k.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key")
+    for turn in range(rounds):
+        big = owned(owner).filter(F.col("m") > crowded)
         if not big.limit(1).count():
-            scratch.drop(k)
             break
-        # a bucket of very many members is dealt out; each part has leaders of its own
-        part = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
-        sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
-        hot = k.join(sizes, "key").withColumn("part", F.when(F.col("n") > 100_000, part).otherwise(F.lit(0))).drop("n")
-        ok = verified(hot.groupBy("key", "part").applyInArrow(leaders, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        lead = big.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.xxhash64("node", F.lit(turn))).alias("b"))
+        met = big.alias("a").join(lead, "h").filter((F.col("a.comp") != F.col("b.comp")) & first_shared())
+        ok = verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
         links = ok if links is None else scratch.save(links.union(ok))
-        # roots alone seek further leaders; the others stay candidates below
-        owner = scratch.save(components(scratch, links).filter("node != root").select(F.col("node").alias("id"), F.col("root").alias("comp")))
-        alive = scratch.save(marked.join(owner, "id", "left_anti"))
-        scratch.drop(k)
-    def crowd_pairs(key, table):
-        """Candidate pairs of a crowded bucket, or between two parts of one.
-
-        A pair that meets in several buckets comes out of the one with the least key.
-        """
-        own, lo, hi = (k.as_py() for k in key)
-        fp = np.stack([table.column(f"f{i}").to_numpy().view(U) for i in range(LANES)], axis=1)
-        part = table.column("part").to_numpy()
-        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        row, found = long_keys(fp)
-        keys: list[set] = [set() for _ in range(len(fp))]
-        for r, x in zip(row.tolist(), found.tolist()):
-            keys[r].add(x)
-        ids = table.column("id").combine_chunks()
-        a, b = [], []
-        for i in range(len(fp)):
-            near_by = np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1) <= max_bits
-            near_by &= comp[i + 1 :] != comp[i]
-            if lo != hi:
-                near_by &= part[i + 1 :] != part[i]
-            for j in (np.flatnonzero(near_by) + i + 1).tolist():
-                if min(keys[i] & keys[j]) == own:
-                    a.append(i)
-                    b.append(j)
-        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
-
-    k = buckets(marked)
-    k = k.withColumn("comp", F.col("id")) if owner is None else k.join(owner, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    few = k.join(sizes.filter(F.col("n") <= crowded), "key", "left_semi")
-    pairs = few.alias("x").join(few.alias("y"), "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        owner = scratch.save(components(scratch, links).filter("node != root").select("node", F.col("root").alias("comp")))
+
     # a crowded bucket is dealt into parts, and each two of its parts meet in one task
-    many = k.join(sizes.filter(F.col("n") > crowded), "key")
-    n_parts = F.ceil(F.col("n") / F.lit(part_rows)).cast("int")
-    many = many.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-    met = many.groupBy("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).applyInArrow(crowd_pairs, f"a {kind}, b {kind}")
-    pairs = pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    ok = verified(pairs)
+    members = owned(owner)
+    mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
+    members = scratch.save(members.join(mixed, "h", "left_semi"))
+    n_parts = F.ceil(F.col("m") / F.lit(part_rows)).cast("int")
+    left = members.withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
+    right = members.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    met = left.alias("a").join(
+        right.alias("b"),
+        (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & first_shared(),
+    )
+    ok = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     links = ok if links is None else links.union(ok)
-    groups = components(scratch, links)
-    rep = first.withColumnRenamed("rep", "node").join(groups, "node", "left").select("h", F.coalesce("root", "node").alias("group"))
-    many = exact.join(rep, "h").select("id", "group")
-    alone = many.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    return many.join(alone, "group").select("id", "group")
+    named = exact.join(components(scratch, links).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = named.groupBy("comp").agg(F.min("id").alias("group"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return named.join(groups, "comp").select("id", "group")

@@ -173,6 +173,21 @@ def test_members_of_a_component_stay_candidates(spark):
         assert {r["id"]: r["group"] for r in got.collect()} == want
 
 
+def test_near_duplicates_wherever_words_differ(spark):
+    """Pairs at 0.8 to 0.9 by an appended, cut, contiguous or rare-word change: all are found."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"q{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(24):
+        w = fresh(300)
+        for how in (w + fresh(33), w + fresh(51), w + fresh(70), w[62:], w[:250], w[:100] + fresh(15) + w[115:], w[:150] + fresh(29) + w[179:]):
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(how))]
+            w = fresh(300)
+    rows += [(len(rows), "a b"), (len(rows) + 1, "A  b"), (len(rows) + 2, "a b c")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert {r["id"]: r["group"] for r in got.collect()} == near_groups(rows)
+
+
 # -------------------------------------------------------------------------- windows
 def plain_cut(rows, width):
     lists = [(i, (t or "").encode().split()) for i, t in rows]
