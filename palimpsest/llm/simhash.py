@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -237,6 +237,11 @@ def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, "h bigint, node binary, n int, pos int, often int")
 
 
+def text_node(text: Column) -> Column:
+    """Half the SHA-256 of a text, which names it among all texts; null for a null text."""
+    return F.unhex(F.substring(F.sha2(text.cast("string").cast("binary"), 256), 1, 32))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -247,8 +252,10 @@ def near_duplicates(
     rounds: int = 2,
     part_rows: int = 2_000,
 ) -> DataFrame:
-    """(id, group): documents that repeat another, with the smallest id of their group.
+    """(id, node, group, first): documents that repeat another, with the smallest id of their group.
 
+    ``node`` names the text (``text_node``), as an id may have several.  ``first`` is
+    true for one id and text of each group: the smallest id, at a tie the smallest node.
     Equal texts are one node.  Two nodes are linked exactly if the Jaccard similarity
     of their word shingles reaches ``similarity``, wherever their words differ: the
     candidates come from an exact prefix filter (``shared_prefixes``), and the sets
@@ -261,8 +268,7 @@ def near_duplicates(
     small_batches(spark)
     scratch = Scratch(spark)
     text = F.col(text_col).cast("string")
-    node = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), node.alias("node")).filter("id is not null")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_node(text).alias("node")).filter("id is not null")
     exact = scratch.save(rows.select("id", "node"))
     texts = rows.filter("node is not null").select("node", "text")
 
@@ -338,5 +344,5 @@ def near_duplicates(
     ok = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     links = ok if links is None else links.union(ok)
     named = exact.join(components(scratch, links).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    groups = named.groupBy("comp").agg(F.min("id").alias("group"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    return named.join(groups, "comp").select("id", "group")
+    groups = named.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return named.join(groups, "comp").select("id", "node", F.col("least.id").alias("group"), (F.struct("id", "node") == F.col("least")).alias("first"))

@@ -188,6 +188,19 @@ def test_near_duplicates_wherever_words_differ(spark):
     assert {r["id"]: r["group"] for r in got.collect()} == near_groups(rows)
 
 
+def test_repeated_ids_lose_only_the_repeated_text(spark):
+    """Id 7 holds a copy of document 3 and a text of its own; id 9 holds two near copies."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, own, b = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3))
+    texts = [(3, a), (7, a), (7, own), (9, b), (9, b + ["more"]), (11, own[:50]), (12, b + ["other"])]
+    rows = [(i, " ".join(w)) for i, w in texts] + [(7, None)]
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert sorted(i for i, _ in left) == [3, 7, 7, 9, 11]
+    assert {t for i, t in left if i == 7} == {" ".join(own), None}
+
+
 # -------------------------------------------------------------------------- windows
 def plain_cut(rows, width):
     lists = [(i, (t or "").encode().split()) for i, t in rows]
