@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 RESULT = "query_id {id}, vec_id {id}, score {score}"
 
 
@@ -243,7 +245,8 @@ def cross_polytope_top_k(
     signed axis.  Every row is indexed in every table; a query looks into the
     ``probes`` axes nearest to it and ranks what it finds by the exact cosine of
     the original vectors.  Full buckets are dealt into parts that are all searched:
-    nothing is capped.
+    nothing is capped.  A query that finds fewer than k rows, all of its candidates
+    if there are fewer, is then compared with the whole table.
     """
     found, dim = valid_vectors(rows, id_col, vec_col)
     found = found.filter(F.exists("v", lambda x: x != 0))
@@ -313,4 +316,21 @@ def cross_polytope_top_k(
 
     by = ("bucket", "qp", "dp")
     pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(solve, schema)
-    return ranked(pairs.distinct(), k)
+    scratch = Scratch(rows.sparkSession)
+    top = scratch.save(ranked(pairs.distinct(), k))
+
+    # queries short of k rows: those of the whole table are sent to all of its blocks
+    searched = as_queries(found, is_query)
+    enough = top.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = scratch.save(searched.join(enough, "id", "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return top
+    blocks = F.lit(math.ceil(found.count() / data_block))
+    groups = F.lit(math.ceil(n_short / query_block))
+    # the block of a row also depends on its input partition, so equal rows spread
+    rest = found.withColumn("dp", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), blocks).cast("int"))
+    rest = rest.withColumn("qp", F.explode(F.sequence(F.lit(0), groups - 1)))
+    asking = short.withColumn("qp", F.pmod(F.xxhash64("id", "v"), groups).cast("int")).withColumn("dp", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    filled = asking.groupBy("qp", "dp").cogroup(rest.groupBy("qp", "dp")).applyInArrow(solve, schema)
+    return top.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*top.columns).union(ranked(filled, k))

@@ -98,3 +98,35 @@ def test_equal_vectors_tie_to_smaller_id(spark):
     rows = [(i, [1.0, 2.0, 2.0], 0) for i in range(80)]
     got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 50, query_block=1, data_block=10)
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def clustered(n, dim=64):
+    """One tight cluster, and every fiftieth vector at cosine -0.3 to it."""
+    rng = np.random.default_rng(8)
+    centre = np.zeros(dim)
+    centre[0] = 1.0
+    x = centre + rng.normal(size=(n, dim)) * 0.01
+    away = rng.normal(size=(n, dim))
+    away[:, 0] = 0
+    away *= math.sqrt(1 - 0.09) / np.linalg.norm(away, axis=1, keepdims=True)
+    away[:, 0] = -0.3
+    x[::50] = away[::50]
+    return [(i, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("rows,parts", [(vectors(6, 6, 64), {}), (vectors(7, 3, 64), {}), (clustered(600), {"data_block": 100, "query_block": 3}), (clustered(40), {})])
+def test_every_query_finds_k_or_all(spark, rows, parts):
+    asked = F.col("id") % 50 == 0
+    got: dict = {}
+    for r in neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), asked, **parts).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: [i for i, _ in w] for q, w in brute_cosine(rows).items()}
+    assert {q: len(f) for q, f in got.items()} == {q: len(w) for q, w in want.items()}
+    if len(rows) <= 6:
+        assert got == want
+
+
+def test_repeated_candidates_each_count_when_filled(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0)] + [(1, [-1.0, 0.5, 0.0, 0.0], 0)] * 3 + [(2, [-1.0, 0.0, 0.5, 0.0], 0)]
+    got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 0, tables=1, probes=1)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 1, 1, 2]
