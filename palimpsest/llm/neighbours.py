@@ -78,9 +78,10 @@ def voronoi_top_k(
 
     Largest inner product becomes nearest distance by one more component that
     lifts all data to a common norm.  Data and queries belong to the cell of their
-    nearest pivot (``pivots`` rows, the first by a hash of the id).  From the size,
-    radius and k + 1 smallest pivot distances of each data cell follows, for each
-    query cell, a distance within which all its queries find k + 1 rows.  By the
+    nearest pivot (``pivots`` rows, the first by a hash of the id).  From the k + 1
+    smallest pivot distances of different ids in each data cell follows, for each
+    query cell, a distance within which all its queries find k + 1 ids, so k rows
+    besides their own however often an id repeats.  By the
     triangle inequality a data row is sent only to the query cells that it can
     reach within that distance.  Query cells travel in blocks, data in chunks, and
     each pair of them is solved by one matrix product.
@@ -127,18 +128,23 @@ def voronoi_top_k(
 
     # summaries: a few numbers for each of the bounded number of cells
     near = Window.partitionBy("cell").orderBy("far")
-    of_data = data.select("cell", "far")
+    of_data = data.select("cell", "id", "far")
     size = {r["cell"]: r for r in of_data.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    first: dict[int, list[float]] = {}
-    for r in of_data.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect():
-        first.setdefault(r["cell"], []).append(r["far"])
+    first: dict[int, list[tuple]] = {}
+    nearest_of = of_data.groupBy("cell", "id").agg(F.min("far").alias("far"))
+    for r in nearest_of.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect():
+        first.setdefault(r["cell"], []).append((r["id"], r["far"]))
     asked = {r["cell"]: r for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
 
     margin = 1e-9 * (1 + math.sqrt(longest)) + 1e-6
     reach, base, blocks, chunks = {}, {}, {}, {}
     at = 0
     for i, q in sorted(asked.items()):
-        upper = sorted(q["far"] + between[i, j] + d for j, ds in first.items() for d in ds)
+        bound: dict = {}
+        for j, ds in first.items():
+            for x, d in ds:
+                bound[x] = min(bound.get(x, math.inf), q["far"] + between[i, j] + d)
+        upper = sorted(bound.values())
         limit = upper[k] if len(upper) > k else math.inf
         reach[i] = limit + q["far"] + margin  # a row is sent if |p_i p_j| - far <= reach
         base[i], blocks[i] = at, math.ceil(q["n"] / query_block)

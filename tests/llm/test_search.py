@@ -45,6 +45,16 @@ def test_voronoi_prunes_far_cells(spark):
     assert {tuple(r) for r in got.collect()} == brute_inner(rows)
 
 
+def test_voronoi_with_a_repeated_id(spark):
+    """Ten rows of the query's own id lie nearest to it; none of them counts."""
+    rng = np.random.default_rng(3)
+    own = [float(c) for c in np.eye(4)[0] * 4]
+    others = np.concatenate([rng.normal(size=(20, 4)) * 0.05 + c for c in np.eye(4)[1:] * 4])
+    rows = [(0, own, 0)] * 10 + [(i + 51 if i >= 49 else i + 1, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(others)]
+    got = neighbours.voronoi_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 0, query_block=1)
+    assert {tuple(r) for r in got.collect()} == {r for r in brute_inner(rows) if r[0] == 0}
+
+
 def test_rows_that_take_no_part(spark):
     rows = vectors(5, 60) + [(100, None, 0), (150, [float("nan")] * 8, 0), (200, [1.0, None] * 4, 0), (250, [float("inf")] * 8, 0), (300, [1.0], 0), (350, [], 0), (None, [1.0] * 8, 0)]
     df = spark.createDataFrame(rows, SHAPE)
