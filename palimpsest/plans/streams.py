@@ -7,18 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import lsm
+from ..sources.scratch import scratch_root
 from ..streaming import newest
 from .registry import query
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors reach; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors reach."""
+    return f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
