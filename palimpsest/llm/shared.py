@@ -1,9 +1,8 @@
 """What several training-data operators share: scratch tables, text arithmetic on
 byte arrays, and the block exchange.
 
-Scratch tables cut lineage.  They live under ``spark.checkpoint.dir``, which all
-executors and the driver can reach; a folder of our own is used only where that
-setting is missing (single-machine tests).
+Scratch tables cut lineage.  They live where ``sources.scratch`` says, which all
+executors and the driver can reach.
 
 Texts are handled as UTF-8 bytes.  A *word* is a maximal run of bytes outside
 ``\\x20`` and ``\\x09``-``\\x0D``, which is what ``bytes.split()`` yields.
@@ -11,14 +10,21 @@ Texts are handled as UTF-8 bytes.  A *word* is a maximal run of bytes outside
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import math
-import tempfile
+import sys
 import uuid
+from typing import Any, ClassVar
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_root
+
 U = np.uint64
 
 #: 1 for the six ASCII white-space bytes.
@@ -27,47 +33,95 @@ SPACE[[9, 10, 11, 12, 13, 32]] = 1
 
 
 # --------------------------------------------------------------- scratch tables
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; set one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.scratch", root)
-    return root.rstrip("/")
+class Scratch:
+    """Parquet tables in the shared folder, each readable by every executor.
 
+    A table is deleted by ``drop``, or else by a later ``Scratch`` once no plan in
+    the driver refers to it any more (its file index is then collected), or at
+    the end of the process.
+    """
 
-class Scratch:
-    """Parquet tables in the shared folder, each readable by every executor."""
+    #: path -> weak reference to the file index that all plans over that table share
+    watched: ClassVar[dict[str, Any]] = {}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        sweep(spark)
         self.root = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
     def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """Write and reread; ``files`` bounds how many files a small table gets."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}-{self.n}"
         (df.coalesce(files) if files else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        index = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+        self.watched[path] = self.spark._jvm.java.lang.ref.WeakReference(index)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, t._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    Scratch.watched.pop(path, None)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch tables that no plan refers to."""
+    if Scratch.watched:
+        gc.collect()  # plans that Python holds no more
+        spark._jvm.System.gc()
+        for path in [path for path, index in Scratch.watched.items() if index.get() is None]:
+            _delete(spark, path)
+
+
+@atexit.register
+def _forget() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        spark = SparkSession.getActiveSession()
+        for path in list(Scratch.watched) if spark else ():
+            _delete(spark, path)
 
 
+# ------------------------------------------------------------ memory of workers
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long: send fewer of them to Python at once than the 10,000 of the default."""
+    """Texts are long: send fewer of them to Python at once than the 10,000 of the default.
+
+    The setting is read when a result is computed, after an operator has returned, so
+    it stays; a smaller one is left as it is.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, rows)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: worker processes outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back at its end."""
+
+    def over_batches(batches):
+        yield from run(batches)
+        trim()
+
+    return over_batches
+
+
 # ------------------------------------------------------------------- text bytes
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null becomes the empty text."""
@@ -108,6 +162,9 @@ class Powers:
 
 BYTE_POWERS = Powers(0x9E3779B97F4A7C15 | 1)
 WORD_POWERS = Powers(0xD6E8FEB86659FD93 | 1)
+#: For a second, independent hash.
+OTHER_BYTE_POWERS = Powers(0xA0761D6478BD642F | 1)
+OTHER_WORD_POWERS = Powers(0xE7037ED1A0B428DB | 1)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
@@ -132,8 +189,8 @@ class Words:
         #: words of text i are first[i]:first[i + 1]
         self.first = np.searchsorted(self.starts, offsets + 1)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.buffer, self.starts, self.ends, BYTE_POWERS)
+    def hashes(self, powers: Powers = BYTE_POWERS) -> np.ndarray:
+        return span_hashes(self.buffer, self.starts, self.ends, powers)
 
 
 def portions(texts: list[bytes], limit: int = 1_000_000):
