@@ -26,12 +26,15 @@ from __future__ import annotations
 
 import gc
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
 from itertools import chain
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Longer words are encoded, but not remembered.
+LONG = 64
 #: Words with the spaces before them, and spaces that nothing follows.
 RUNS = re.compile(" *[^ ]+| +")
 
@@ -84,14 +87,17 @@ class Encoder:
     """Encodes and decodes with a bounded memory of words seen before.
 
     A word is what stands between single spaces or line feeds, or, where spaces are
-    doubled, a run of spaces with what follows it.
+    doubled, a run of spaces with what follows it.  Words of more than ``LONG``
+    characters are not remembered, so the memory is bounded in bytes.
     """
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 400_000, pair_room: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, room: int = 250_000, pair_room: int = 500_000):
         self.v, self.room, self.pair_room = vocabulary, room, pair_room
         # what was seen lately, and before that; a word that comes back moves up
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.long: list[str] = []
+        self.joints = " \n" if vocabulary.lines else " "
         self.pairs: dict = {}
         self.texts = [self._bytes_of(i) for i in range(len(vocabulary.text))]
         # pieces that merging would not leave as they are can end no segmentation
@@ -125,20 +131,14 @@ class Encoder:
         out = self.lengths[tail] = tuple(sorted(found, reverse=True))
         return out
 
-    def _extend(self, unit: str, starts: list, last: list, paths: list, scores: list) -> None:
+    def _extend_merging(self, unit: str, starts: list, last: list, scores: list) -> None:
         """Append the cells of the prefixes of ``unit`` that are not there yet.
 
-        A cell is where the last piece of the best segmentation starts, the id of that
-        piece (none for a character that the vocabulary lacks), all ids so far and, for
-        unigrams, the score.
+        A cell is where the last piece of the segmentation that ends there starts, and
+        the id of that piece (none for a character that the vocabulary lacks).
         """
         usable, lengths, pairs = self.usable.get, self.lengths.get, self.pairs.get
-        merging, score = self.v.kind == BPE, self.v.score
         for end in range(len(starts), len(unit) + 1):
-            start, found, best = end - 1, None, None
-            if not merging:
-                found = usable(unit[end - 1])
-                best = scores[end - 1] + (self.v.lowest if found is None else score[found])
             tail = unit[end - 3 : end] if end > 2 else unit[:end]
             sizes = lengths(tail)
             for n in self._sizes(tail) if sizes is None else sizes:
@@ -148,43 +148,68 @@ class Encoder:
                 i = usable(unit[at:end])
                 if i is None:
                     continue
-                if merging:
-                    if at:
-                        j = last[at]
-                        ok = None if j is None else pairs(j << 24 | i)
-                        if ok is None:
-                            ok = self._fits(unit[starts[at] : at], j, unit[at:end], i)
-                        if not ok:
-                            continue
-                    start, found = at, i
-                    break
-                s = scores[at] + score[i]
-                if s > best or s == best and at < start:
-                    start, found, best = at, i, s
+                if at:
+                    j = last[at]
+                    ok = None if j is None else pairs(j << 24 | i)
+                    if ok is None:
+                        ok = self._fits(unit[starts[at] : at], j, unit[at:end], i)
+                    if not ok:
+                        continue
+                starts.append(at)
+                last.append(i)
+                break
             else:
-                if merging:
-                    found = usable(unit[end - 1])
+                starts.append(end - 1)
+                last.append(usable(unit[end - 1]))
+
+    def _extend_scoring(self, unit: str, starts: list, last: list, scores: list) -> None:
+        """As above, by the largest sum of scores; longer last pieces win ties."""
+        usable, score = self.usable.get, self.v.score
+        for end in range(len(starts), len(unit) + 1):
+            start, found = end - 1, usable(unit[end - 1])
+            best = scores[end - 1] + (self.v.lowest if found is None else score[found])
+            tail = unit[end - 3 : end] if end > 2 else unit[:end]
+            sizes = self.lengths.get(tail)
+            for n in self._sizes(tail) if sizes is None else sizes:
+                at = end - n
+                i = usable(unit[at:end]) if at >= 0 else None
+                if i is not None:
+                    s = scores[at] + score[i]
+                    if s > best or s == best and at < start:
+                        start, found, best = at, i, s
             starts.append(start)
             last.append(found)
-            paths.append(paths[start] + ((found,) if found is not None else self._unlisted(unit[start:end])))
             scores.append(best)
 
-    def segment(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct units, in sorted order over shared prefixes."""
-        starts, last, paths, scores = [0], [None], [()], [0.0]
-        before, found = "", {}
+    def segment(self, units: set[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """(unit, ids) of distinct units, in sorted order over shared prefixes.
+
+        Cells point back, so their memory is in proportion to the longest unit; the
+        ids of a unit are read off once, from its end.
+        """
+        starts, last, scores = [0], [None], [0.0]
+        extend = partial(self._extend_merging if self.v.kind == BPE else self._extend_scoring, starts=starts, last=last, scores=scores)
+        before = ""
         for unit in sorted(units):
-            same = 0
+            same = 1
             for a, b in zip(before, unit):
                 if a != b:
                     break
                 same += 1
-            same += 1
-            del starts[same:], last[same:], paths[same:], scores[same:]
-            self._extend(unit, starts, last, paths, scores)
+            del starts[same:], last[same:], scores[same:]
+            extend(unit)
             before = unit
-            found[unit] = paths[-1]
-        return found
+            ids, at = [], len(unit)
+            while at:
+                i = last[at]
+                start = starts[at]
+                if i is None:
+                    ids += reversed(self._unlisted(unit[start:at]))
+                else:
+                    ids.append(i)
+                at = start
+            ids.reverse()
+            yield unit, tuple(ids)
 
     def _unlisted(self, piece: str) -> tuple[int, ...]:
         found = tuple(self.v.bytes.get(b) for b in piece.encode())
@@ -197,18 +222,21 @@ class Encoder:
             self.known = fresh
         back = [(w, ids) for w in words.difference(self.known) if (ids := self.older.get(w)) is not None]
         self.known.update(back)
+        fresh = words.difference(self.known)
+        odd = {w for w in fresh if w[0] in self.joints or MARK in w}
+        self.long = [w for w in fresh if len(w) > LONG]
         mark = lambda w: w.replace(" ", MARK) if w[0] == " " else MARK + w
         units = self.v.units.findall
-        cut = {
-            w: ["\n", *units(w[1:])] if self.v.lines and w[0] == "\n" else units(mark(w)) if w[0] == " " or MARK in w else [MARK + w]
-            for w in words.difference(self.known)
-        }
+        cut = {w: ["\n", *units(w[1:])] if self.v.lines and w[0] == "\n" else units(mark(w)) for w in odd}
         collecting = gc.isenabled()
         gc.disable()  # many small objects without cycles
         try:
-            found = self.segment({u for c in cut.values() for u in c})
+            known = self.known
+            for unit, ids in self.segment({MARK + w for w in fresh - odd}):
+                known[unit[1:]] = ids
+            found = dict(self.segment({u for c in cut.values() for u in c}))
             for w, c in cut.items():
-                self.known[w] = found[c[0]] if len(c) == 1 else tuple(i for u in c for i in found[u])
+                known[w] = tuple(i for u in c for i in found[u])
         finally:
             if collecting:
                 gc.enable()
@@ -234,7 +262,11 @@ class Encoder:
         split = [self._words(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(split)))
         get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        ids = [list(chain.from_iterable(map(get, words))) for words in split]
+        for w in self.long:
+            del self.known[w]
+        self.long = []
+        return ids
 
     def _bytes_of(self, i: int) -> bytes:
         kind = self.v.type[i]
@@ -268,7 +300,7 @@ def tokenize(docs, model: bytes, text_col: str = "text"):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    from .shared import encoded, portions, small_batches
+    from .shared import encoded, portions, small_batches, tidy
 
     small_batches(docs.sparkSession)
 
@@ -294,7 +326,7 @@ def tokenize(docs, model: bytes, text_col: str = "text"):
 
     held = docs.select(row)
     fields = [held.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("restored", T.BooleanType())]
-    return held.mapInArrow(run, T.StructType(fields))
+    return held.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def detokenize(rows, model: bytes, ids_col: str = "ids"):
