@@ -14,7 +14,9 @@ long text.  Features whose chi-square against the grades could be chance are lef
 out before the fit; a corpus has many words that occur once.
 
 ``fit`` looks at no more than ``sample`` labelled documents, the first by a hash
-of their id; that bound is the only one, scoring reads whole texts of all rows.
+of their id, and where ids repeat the first by a hash of id and text; that bound is
+the only one, scoring reads whole texts of all rows.  Rows that repeat count each.
+Extra columns of any name pass through in ``row``.  An empty table gives no rows.
 Null texts are empty; null ids are scored but not learned from; labels that are
 null or outside the grades are not used; documents with several labels count once
 for each.  Without any label all documents get the highest grade.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoded, small_batches
+from .shared import encoded, small_batches, tidy
 
 BITS = 22
 #: Lengths, in bytes, of the prefixes of words.
@@ -67,10 +69,10 @@ class Features:
     a text costs one look into the cache for each distinct word.
     """
 
-    def __init__(self, wanted=None, room: int = 300_000):
+    def __init__(self, wanted=None, room: int = 100_000, marks: bool = True):
         self.wanted = None if wanted is None else frozenset(wanted)
         self.names = None if wanted is None else frozenset(i >> 2 for i in self.wanted)
-        self.room, self.cache = room, {}
+        self.room, self.cache, self.marks = room, {}, marks
 
     def _keys(self, word: bytes) -> tuple[int, ...]:
         """Hashes of a word and its prefixes, as far as they are of interest."""
@@ -103,8 +105,9 @@ class Features:
                     for k in keys:
                         times[k] = times.get(k, 0) + 1
         found = {k << 2 | level for k, n in times.items() for level, least in enumerate(TIMES) if n >= least}
-        again = sum(map(eq, words, islice(words, 1, None)))
-        found.update(map(place, shape_marks(len(words), len(count), symbol, upper, count[b"|"], again)))
+        if self.marks:
+            again = sum(map(eq, words, islice(words, 1, None)))
+            found.update(map(place, shape_marks(len(words), len(count), symbol, upper, count[b"|"], again)))
         return sorted(found if self.wanted is None else found & self.wanted)
 
 
@@ -146,6 +149,30 @@ def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, strict:
     return some[chi > strict * np.log(len(some) + 1)]
 
 
+def thresholds(first: float, gaps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of their gaps."""
+    return first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+
+
+def slopes(w: np.ndarray, first: float, gaps: np.ndarray, where: np.ndarray, column: np.ndarray, grades: np.ndarray, heard: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """(loss, gradient by w, first and gaps) of the negative log likelihood with a ridge.
+
+    Feature ``column[k]`` is present in row ``where[k]``; row i counts ``heard[i]``.
+    """
+    n, n_grades, i = len(grades), len(gaps) + 2, np.arange(len(grades))
+    s = np.bincount(where, w[column], n)
+    tail = 1 / (1 + np.exp(-np.clip(s[:, None] - thresholds(first, gaps), -40, 40)))
+    # P(grade = g) = P(>= g) - P(>= g + 1)
+    edge = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
+    slope = edge * (1 - edge)
+    p = np.maximum(edge[i, grades] - edge[i, grades + 1], 1e-12)
+    up, low = heard * slope[i, grades] / p, heard * slope[i, grades + 1] / p
+    dt = (np.bincount(grades, up, n_grades + 1) - np.bincount(grades + 1, low, n_grades + 1))[1:n_grades]
+    dgaps = np.cumsum(dt[::-1])[::-1][1:] * np.exp(gaps)
+    loss = -(heard * np.log(p)).sum() + ridge / 2 * (w * w).sum()
+    return loss, np.concatenate([np.bincount(column, (low - up)[where], len(w)) + ridge * w, [dt.sum()], dgaps])
+
+
 def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 800, rate: float = 0.1, ridge: float = 1e-4, balance: float = 0.5) -> Model:
     """Maximum likelihood by Adam steps over the whole sample, with a ridge on the weights.
 
@@ -162,33 +189,25 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds
     column = np.concatenate(kept).astype(np.int64)
     w, first, gaps = np.zeros(len(used)), -1.0, np.zeros(n_grades - 2)
     state = [np.zeros(len(used) + n_grades - 1) for _ in range(2)]
-    i = np.arange(len(rows))
     own = np.bincount(grades, minlength=n_grades)
     heard = (np.maximum(own, 1) ** -balance)[grades]
     heard /= heard.sum()
     for step in range(1, rounds + 1):
-        t = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(where, w[column], len(rows))
-        tail = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40)))
-        # P(grade = g) = P(>= g) - P(>= g + 1)
-        edge = np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], axis=1)
-        slope = edge * (1 - edge)
-        p = np.maximum(edge[i, grades] - edge[i, grades + 1], 1e-12)
-        up, low = heard * slope[i, grades] / p, heard * slope[i, grades + 1] / p
-        dt = (np.bincount(grades, up, n_grades + 1) - np.bincount(grades + 1, low, n_grades + 1))[1:n_grades]
-        dgaps = np.cumsum(dt[::-1])[::-1][1:] * np.exp(gaps)
-        g = np.concatenate([np.bincount(column, (low - up)[where], len(used)) + ridge * w, [dt.sum()], dgaps])
+        _, g = slopes(w, first, gaps, where, column, grades, heard, ridge)
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         w -= move[: len(used)]
         first -= move[len(used)]
         gaps -= move[len(used) + 1 :]
-    return Model(used, w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    return Model(used, w, thresholds(first, gaps))
 
 
-def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, **how) -> Model:
-    """Fit on at most ``sample`` rows of ``grades(id, grade)`` joined with their texts."""
+def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, marks: bool = True, **how) -> Model:
+    """Fit on at most ``sample`` rows of ``grades(id, grade)`` joined with their texts.
+
+    ``marks``: whether the marks of a text's shape are features besides its words.
+    """
     small_batches(docs.sparkSession)
     usable = grades.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     some = usable.select(id_col, F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64(id_col), id_col, "grade").limit(sample)
@@ -196,13 +215,15 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), id_col)
 
     def run(batches):
-        f = Features()
+        f = Features(room=50_000, marks=marks)
         for b in batches:
             lists = pa.array([f.indices(x) for x in encoded(b.column(0))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists], names=["name", "grade", "features"])
 
     name = F.xxhash64(id_col, "text").alias("name")
-    table = rows.select("text", name, "grade").mapInArrow(run, "name bigint, grade int, features array<int>").toArrow()
+    featured = rows.select("text", name, "grade").mapInArrow(tidy(run), "name bigint, grade int, features array<int>")
+    # ids may repeat, so the rows that reach the driver are bounded once more
+    table = featured.orderBy("name", "grade").limit(sample).toArrow()
     grade_of = table.column("grade").to_numpy().astype(np.int64)
     order = np.lexsort((grade_of, table.column("name").to_numpy()))  # the same whatever order rows arrive in
     lists = table.column("features").combine_chunks()
@@ -229,7 +250,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 names=["row", "score", "expected_grade", "tail"],
             )
 
-    return docs.select(kept).mapInArrow(run, _schema(docs, kept))
+    return docs.select(kept).mapInArrow(tidy(run), _schema(docs, kept))
 
 
 def _schema(docs: DataFrame, row: Column):
