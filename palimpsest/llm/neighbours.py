@@ -233,76 +233,83 @@ def rotated(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def cross_polytope_top_k(
-    rows: DataFrame,
-    is_query: Column,
-    id_col: str = "vec_id",
-    vec_col: str = "embedding",
-    k: int = 5,
-    tables: int = 12,
-    probes: int = 14,
-    seed: int = 42,
-    data_block: int = 20_000,
-    query_block: int = 2_048,
-) -> DataFrame:
-    """(query_id, rank INT, vec_id, score DOUBLE) by cosine in double precision.
-
-    In each of ``tables`` pseudo-rotations a unit vector falls to its nearest
-    signed axis.  Every row is indexed in every table; a query looks into the
-    ``probes`` axes nearest to it and ranks what it finds by the exact cosine of
-    the original vectors.  Full buckets are dealt into parts that are all searched:
-    nothing is capped.  A query that finds fewer than k rows, all of its candidates
-    if there are fewer, is then compared with the whole table.
+class Axes:
+    """``tables`` hashes, each naming the nearest signed axis in ``depth`` pseudo-rotations."""
+
+    #: Combinations of axes that are ranked in one table at most.
+    RANKED = 4_096
+
+    def __init__(self, dim: int, rows: int, tables: int, seed: int):
+        self.dim, self.tables = dim, tables
+        width = 1 << max(0, dim - 1).bit_length()
+        self.sides = 2 * width
+        # as many axes as give about one row a bucket; their numbers fit into 62 bits
+        side_bits = math.log2(self.sides)
+        self.depth = min(int(62 // side_bits), max(2, round(math.log2(max(2, rows)) / side_bits)))
+        self.near = min(self.sides, max(1, int(self.RANKED ** (1 / self.depth) + 1e-9)))
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, self.depth, 3, width))
+
+    def projections(self, v: np.ndarray):
+        """For each table and rotation, the components along all signed axes."""
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        for of_table in self.signs:
+            found = []
+            for s in of_table:
+                x = rotated(unit, s)
+                found.append(np.concatenate([x, -x], axis=1))
+            yield found
+
+    def codes(self, v: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table."""
+        out = np.zeros((len(v), self.tables), dtype=np.int64)
+        for t, found in enumerate(self.projections(v)):
+            for x in found:
+                out[:, t] = out[:, t] * self.sides + np.argmax(x, axis=1)
+        return out
+
+    def ranked(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, scores), each by row, table and combination of axes near to it.
+
+        The score of a bucket is the sum of the row's components along its axes.
+        """
+        all_codes, all_scores = [], []
+        for found in self.projections(v):
+            codes, scores = np.zeros((len(v), 1), dtype=np.int64), np.zeros((len(v), 1))
+            for x in found:
+                axes = np.argsort(-x, axis=1, kind="stable")[:, : self.near]
+                parts = np.take_along_axis(x, axes, axis=1)
+                codes = (codes[:, :, None] * self.sides + axes[:, None, :]).reshape(len(v), -1)
+                scores = (scores[:, :, None] + parts[:, None, :]).reshape(len(v), -1)
+            all_codes.append(codes)
+            all_scores.append(scores)
+        return np.stack(all_codes, axis=1), np.stack(all_scores, axis=1)
+
+
+def probes_needed(axes: Axes, queries: np.ndarray, neighbours: list[np.ndarray], target: float) -> int:
+    """How many buckets, best score first over all tables, hold ``target`` of the neighbours.
+
+    ``neighbours``: for each query the codes of its true neighbours, one row each.
     """
-    found, dim = valid_vectors(rows, id_col, vec_col)
-    found = found.filter(F.exists("v", lambda x: x != 0))
-    kind = found.schema["id"].dataType.simpleString()
-    schema = RESULT.format(id=kind, score="double")
-    if not dim:
-        return ranked(rows.sparkSession.createDataFrame([], schema), k)
-    width = 1 << max(0, dim - 1).bit_length()
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, 3, width))
-    per_table = min(probes, 2 * width)
-
-    def hashed(n: int):
-        def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = matrix(b.column(1), dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                axes = []
-                for s in signs:
-                    x = rotated(unit, s)
-                    both = np.concatenate([x, -x], axis=1)
-                    axes.append(np.argmax(both, axis=1)[:, None] if n == 1 else np.argsort(-both, axis=1, kind="stable")[:, :n])
-                bucket = (np.arange(tables)[:, None, None] * (2 * width) + np.stack(axes)).transpose(1, 0, 2).reshape(b.num_rows, -1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bucket.size + 1, bucket.shape[1]), pa.int32()), pa.array(bucket.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "v", "buckets"])
+    needed = []
+    for q, codes in zip(queries, neighbours):
+        own, score = (x[0] for x in axes.ranked(q[None]))
+        order = np.sort(-score.ravel())
+        for row in codes:
+            best = score[own == row[:, None]].max(initial=-np.inf)
+            needed.append(np.searchsorted(order, -best, side="right") if best > -np.inf else score.size)
+    if not needed:
+        return 1
+    return int(np.sort(needed)[max(0, math.ceil(target * len(needed)) - 1)])
 
-        return run
 
-    shape = f"id {kind}, v array<double>, buckets array<int>"
-    data = found.mapInArrow(hashed(1), shape).select("id", "v", F.explode("buckets").alias("bucket"))
-    asked = as_queries(found, is_query).mapInArrow(hashed(per_table), shape).select("id", "v", F.explode("buckets").alias("bucket"))
-
-    # parts of each bucket: at most tables * 2 * width numbers
-    n_data = {r["bucket"]: r["count"] for r in data.groupBy("bucket").count().collect()}
-    n_asked = {r["bucket"]: r["count"] for r in asked.groupBy("bucket").count().collect()}
-    total = tables * 2 * width
-    data_parts = [max(1, math.ceil(n_data.get(b, 0) / data_block)) for b in range(total)]
-    query_parts = [max(1, math.ceil(n_asked.get(b, 0) / query_block)) for b in range(total)]
-    counts = rows.sparkSession.createDataFrame([(b, data_parts[b], query_parts[b]) for b in range(total)], "bucket int, dn int, qn int")
-    dealt = F.broadcast(counts)
-    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(dealt, "bucket").select("id", "v", "bucket", deal("qn").alias("qp"), spread("dn").alias("dp"))
-    right = data.join(dealt, "bucket").select("id", "v", "bucket", deal("dn").alias("dp"), spread("qn").alias("qp"))
+def exact_pairs(k: int):
+    """A function of (key, queries, rows), both (id, v): the k rows of largest cosine for each query."""
 
     def solve(key, queries, mine):
         out: tuple[list, list, list] = ([], [], [])
         if queries.num_rows and mine.num_rows:
+            dim = len(mine.column("v")[0])
             q_ids, ids = queries.column("id").to_numpy(), mine.column("id").to_numpy()
             q, x = matrix(queries.column("v"), dim), matrix(mine.column("v"), dim)
             order = np.argsort(ids, kind="stable")
@@ -320,23 +327,197 @@ def cross_polytope_top_k(
         types = (queries.schema.field("id").type, mine.schema.field("id").type, pa.float64())
         return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score"])
 
-    by = ("bucket", "qp", "dp")
-    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(solve, schema)
+    return solve
+
+
+def cross_polytope_candidates(
+    scratch: Scratch, found: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, sample: int, target: float, seed: int, blocks: int, part_rows: int, query_block: int
+) -> tuple[DataFrame, DataFrame]:
+    """(index, candidates): ``index(id, v, rid)`` numbers the rows, ``candidates(query_id,
+    block, rids BINARY)`` lists the numbers that a query has to compare, by ``rid % blocks``.
+    """
+    n, n_asked = found.count(), asked.count()
+    kind = found.schema["id"].dataType.simpleString()
+    axes = Axes(dim, n, tables, seed)
+
+    def hashed(batches):
+        for b in batches:
+            if b.num_rows:
+                codes = axes.codes(matrix(b.column(1), dim))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["id", "v", "codes"])
+
+    coded = found.select("id", "v").mapInArrow(hashed, f"id {kind}, v array<double>, codes array<bigint>")
+    index = scratch.save(coded.withColumn("rid", F.monotonically_increasing_id()))
+
+    # a bounded number of queries is compared with all rows to learn how many buckets to look into
+    tried = asked.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    tried_ids, tried_v = [r["id"] for r in tried], np.array([r["v"] for r in tried]).reshape(-1, dim)
+    length = np.sqrt((tried_v * tried_v).sum(axis=1))
+
+    def nearest(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dim)
+            cosine = (tried_v / length[:, None]) @ (x / np.sqrt((x * x).sum(axis=1))[:, None]).T
+            for q, row in enumerate(cosine):
+                hit = best(row, ids, tried_ids[q], k)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(hit), pa.int32()), pa.array(row[hit]), b.column(2).take(pa.array(hit))], names=["q", "score", "codes"])
+
+    w = Window.partitionBy("q").orderBy(F.desc("score"))
+    near = index.select("id", "v", "codes").mapInArrow(nearest, "q int, score double, codes array<bigint>")
+    true: list[list] = [[] for _ in tried]
+    for r in near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).collect():  # at most sample * k rows
+        true[r["q"]].append(r["codes"])
+    n_probes = probes_needed(axes, tried_v, [np.array(x, dtype=np.int64).reshape(-1, tables) for x in true], target)
+    parts = max(1, math.ceil(n / part_rows))
+
+    def probed(batches):
+        """For each query, table and part of its buckets: the buckets to look into."""
+        for b in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            v = matrix(b.column(1), dim) if b.num_rows else ()
+            for q, i in zip(v, b.column(0).to_pylist()):
+                codes, scores = (x[0].ravel() for x in axes.ranked(q[None]))
+                take = np.argpartition(-scores, n_probes - 1)[:n_probes] if n_probes < len(scores) else np.arange(len(scores))
+                table, code = take // (len(scores) // tables), codes[take]
+                place = table * parts + code % parts
+                order = np.argsort(place, kind="stable")
+                names, at = np.unique(place[order], return_index=True)
+                for p, c in zip(names.tolist(), np.split(code[order], at[1:])):
+                    for column, x in zip(out, (i, p // parts, p % parts, c.tobytes())):
+                        column.append(x)
+            types = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "t", "part", "codes"])
+
+    # full parts are dealt into slices by the number of the row; a part has its share of the buckets
+    entries = index.select("rid", "id", F.xxhash64("v").alias("same"), F.posexplode("codes").alias("t", "code")).withColumn("part", (F.col("code") % parts).cast("int"))
+    counted = entries.groupBy("t", "part").agg(F.count("*").alias("n"))
+    slices = F.broadcast(counted.select("t", "part", F.ceil(F.col("n") / part_rows).cast("int").alias("dn")))  # tables * parts numbers
+    groups = F.lit(max(1, math.ceil(n_asked / query_block)))
+    qp = F.pmod(F.xxhash64("id"), groups).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    left = asked.select("id", "v").mapInArrow(probed, f"id {kind}, t int, part int, codes binary").join(slices, ["t", "part"])
+    left = left.select("id", "t", "part", "codes", qp.alias("qp"), each(F.col("dn")).alias("dp"))
+    right = entries.join(slices, ["t", "part"]).select("rid", "id", "same", "code", "t", "part", F.pmod(F.xxhash64("rid"), F.col("dn")).cast("int").alias("dp"), each(groups).alias("qp"))
+
+    def collide(key, queries, mine):
+        out: tuple[list, list, list] = ([], [], [])
+        if queries.num_rows and mine.num_rows:
+            code, rid, same, ids = (mine.column(c).to_numpy() for c in ("code", "rid", "same", "id"))
+            order = np.lexsort((rid, ids, same, code))
+            code, rid, same = code[order], rid[order], same[order]
+            # of rows with one vector, k rows each of the k + 1 smallest ids are enough
+            ids = ids[order]
+            new = np.concatenate(([True], (code[1:] != code[:-1]) | (same[1:] != same[:-1])))
+            fresh = new | np.concatenate(([True], ids[1:] != ids[:-1]))
+            since = lambda flags: np.maximum.accumulate(np.where(flags, np.arange(len(flags)), 0))
+            nth_id = np.cumsum(fresh) - np.cumsum(fresh)[since(new)]
+            few = (nth_id <= k) & (np.arange(len(code)) - since(fresh) < k)
+            code, rid = code[few], rid[few]
+            for i, blob in zip(queries.column("id").to_pylist(), queries.column("codes").to_pylist()):
+                wanted = np.frombuffer(blob, dtype=np.int64)
+                lo, hi = np.searchsorted(code, wanted), np.searchsorted(code, wanted, side="right")
+                size = hi - lo
+                if not size.any():
+                    continue
+                hits = rid[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+                block = hits % blocks
+                by = np.argsort(block, kind="stable")
+                names, at = np.unique(block[by], return_index=True)
+                for b, x in zip(names.tolist(), np.split(hits[by], at[1:])):
+                    out[0].append(i)
+                    out[1].append(b)
+                    out[2].append(x.tobytes())
+        types = (queries.schema.field("id").type, pa.int32(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "block", "rids"])
+
+    by = ("t", "part", "qp", "dp")
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(collide, f"query_id {kind}, block int, rids binary")
+    return index.select("id", "v", "rid"), scratch.save(met.groupBy("query_id", "block").agg(F.collect_list("rids").alias("rids")))
+
+
+def cross_polytope_top_k(
+    rows: DataFrame,
+    is_query: Column,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    k: int = 5,
+    tables: int = 24,
+    sample: int = 64,
+    target: float = 0.97,
+    seed: int = 42,
+    data_block: int = 20_000,
+    part_rows: int = 1_000_000,
+    query_block: int = 2_048,
+) -> DataFrame:
+    """(query_id, rank INT, vec_id, score DOUBLE) by cosine in double precision.
+
+    In each of ``tables`` tables a unit vector falls into the bucket named by its
+    nearest signed axis in several pseudo-rotations, the more of them the more rows
+    there are.  Every row is indexed in every table.  A query looks into the buckets
+    of highest score over all tables, as many as hold ``target`` of the true
+    neighbours of ``sample`` queries (the first by a hash of their id).  Buckets
+    give numbers of rows; these are made distinct, and each block of vectors is
+    read once for all queries that name rows of it and ranked by the exact cosine
+    of the original vectors.  Nothing is capped: full parts are dealt into slices
+    that are all searched.  A query that finds fewer than k rows, all of its
+    candidates if there are fewer, is then compared with the whole table.
+    """
+    found, dim = valid_vectors(rows, id_col, vec_col)
+    found = found.filter(F.exists("v", lambda x: x != 0))
+    kind = found.schema["id"].dataType.simpleString()
+    schema = RESULT.format(id=kind, score="double")
+    n = found.count() if dim else 0
+    if not n:
+        return ranked(rows.sparkSession.createDataFrame([], schema), k)
     scratch = Scratch(rows.sparkSession)
-    top = scratch.save(ranked(pairs.distinct(), k))
+    asked = scratch.save(as_queries(found, is_query))
+    blocks = math.ceil(n / data_block)
+    index, met = cross_polytope_candidates(scratch, found, asked, dim, k, tables, sample, target, seed, blocks, part_rows, query_block)
+
+    # as many queries at once as share a block of vectors in memory
+    turns = F.broadcast(met.groupBy("block").agg(F.ceil(F.count("*") / query_block).cast("int").alias("turns")))  # one number a block
+    vectors = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    left = met.join(vectors, "query_id").join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).drop("turns")
+    right = index.withColumn("block", (F.col("rid") % blocks).cast("int")).join(turns, "block")
+    right = right.select("id", "v", "rid", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+
+    def rerank(key, queries, mine):
+        out: tuple[list, list, list] = ([], [], [])
+        if queries.num_rows and mine.num_rows:
+            rid = mine.column("rid").to_numpy()
+            order = np.argsort(rid)
+            rid, ids, x = rid[order], mine.column("id").to_numpy()[order], matrix(mine.column("v"), dim)[order]
+            nx = np.sqrt((x * x).sum(axis=1))
+            unit = x / nx[:, None]
+            for i, q, blobs in zip(queries.column("query_id").to_pylist(), matrix(queries.column("q"), dim), queries.column("rids").to_pylist()):
+                at = np.searchsorted(rid, np.unique(np.frombuffer(b"".join(blobs), dtype=np.int64)))
+                at = at[np.argsort(ids[at], kind="stable")]
+                nq = math.sqrt((q * q).sum())
+                hit = at[best(unit[at] @ (q / nq), ids[at], i, k, 1e-9)]
+                fine = (x[hit] * q).sum(axis=1) / (nx[hit] * nq)
+                top = np.lexsort((np.arange(len(hit)), -fine))[:k]
+                out[0].append(np.full(len(top), i))
+                out[1].append(ids[hit[top]])
+                out[2].append(fine[top])
+        types = (queries.schema.field("query_id").type, mine.schema.field("id").type, pa.float64())
+        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score"])
+
+    pairs = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(rerank, schema)
+    top = scratch.save(ranked(pairs, k))
 
     # queries short of k rows: those of the whole table are sent to all of its blocks
-    searched = as_queries(found, is_query)
     enough = top.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
-    short = scratch.save(searched.join(enough, "id", "left_anti"))
+    short = scratch.save(asked.join(enough, "id", "left_anti"))
     n_short = short.count()
     if not n_short:
         return top
-    blocks = F.lit(math.ceil(found.count() / data_block))
     groups = F.lit(math.ceil(n_short / query_block))
     # the block of a row also depends on its input partition, so equal rows spread
-    rest = found.withColumn("dp", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), blocks).cast("int"))
+    rest = found.withColumn("dp", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), F.lit(blocks)).cast("int"))
     rest = rest.withColumn("qp", F.explode(F.sequence(F.lit(0), groups - 1)))
-    asking = short.withColumn("qp", F.pmod(F.xxhash64("id", "v"), groups).cast("int")).withColumn("dp", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    filled = asking.groupBy("qp", "dp").cogroup(rest.groupBy("qp", "dp")).applyInArrow(solve, schema)
+    asking = short.withColumn("qp", F.pmod(F.xxhash64("id", "v"), groups).cast("int")).withColumn("dp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    filled = asking.groupBy("qp", "dp").cogroup(rest.groupBy("qp", "dp")).applyInArrow(exact_pairs(k), schema)
     return top.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*top.columns).union(ranked(filled, k))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import neighbours, queries
+from palimpsest.llm.shared import Scratch
 
 SHAPE = "vec_id bigint, embedding array<float>, label int"
 
@@ -138,5 +139,44 @@ def test_every_query_finds_k_or_all(spark, rows, parts):
 
 def test_repeated_candidates_each_count_when_filled(spark):
     rows = [(0, [1.0, 0.0, 0.0, 0.0], 0)] + [(1, [-1.0, 0.5, 0.0, 0.0], 0)] * 3 + [(2, [-1.0, 0.0, 0.5, 0.0], 0)]
-    got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 0, tables=1, probes=1)
+    got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 0, tables=1, target=0.01)
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 1, 1, 2]
+
+
+def test_cosine_with_a_repeated_query_id(spark):
+    """Rows that share the query's id and vector do not crowd out its candidates."""
+    rows = [(50, [1.0, 0.0, 0.0], 0)] * 12 + [(i, [1.0, 0.01 * i, 0.0], 0) for i in range(1, 9)] + [(9, [1.0, 0.0, 0.0], 0)] * 7
+    got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 50)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [9] * 5
+    rows = [r for r in rows if r[0] != 9]
+    got = neighbours.cross_polytope_top_k(spark.createDataFrame(rows, SHAPE), F.col("id") == 50)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_extra_columns_and_null_ids_in_searches(spark):
+    """Other columns, whatever their names, and rows without an id change nothing."""
+    rows = vectors(9, 120, 8)
+    plain = spark.createDataFrame(rows, SHAPE)
+    more = plain.union(spark.createDataFrame([(None, [9.0] * 8, 0)], SHAPE)).withColumnRenamed("label", "id").withColumn("rid", F.lit("x")).withColumn("v", F.lit(1)).withColumn("score", F.lit(2))
+    for search in (neighbours.voronoi_top_k, neighbours.cross_polytope_top_k):
+        of = [sorted(map(tuple, search(t, F.col("id") % 50 == 0).collect())) for t in (plain, more)]
+        assert of[0] == of[1]
+
+
+def test_comparisons_fall_as_a_share_of_the_rows(spark):
+    """Recall stays, while the share of rows that a query is compared with falls."""
+    shares = []
+    for n in (1_000, 10_000):
+        rows = vectors(n, n, 64)
+        table = spark.createDataFrame(rows, SHAPE)
+        found, dim = neighbours.valid_vectors(table, "vec_id", "embedding")
+        asked = neighbours.as_queries(found, F.col("id") % 50 == 0)
+        _, met = neighbours.cross_polytope_candidates(Scratch(spark), found, asked, dim, 5, 24, 64, 0.97, 42, 1, 10**6, 2_048)
+        each = [len(set(np.frombuffer(b"".join(r["rids"]), dtype=np.int64).tolist())) for r in met.collect()]
+        shares.append(sum(each) / len(each) / n)
+    assert shares[1] < shares[0] and shares[1] < 0.2, shares
+    want = brute_cosine(rows)
+    got: dict = {}
+    for r in neighbours.cross_polytope_top_k(table, F.col("id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({i for i, _ in w} & got[q]) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
