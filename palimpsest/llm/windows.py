@@ -3,13 +3,16 @@
 Every window of ``width`` consecutive words gets a Rabin-Karp hash.  Blocks of
 documents send their distinct window hashes to the buckets that own them, where
 they are counted over the corpus; each block learns which of its hashes are
-repeated and merges the windows that carry one into maximal removal intervals.
+repeated.  Those few are counted once more together with a second hash of other
+bases, so a window is told from others by 128 bits, and each block merges the
+windows that are repeated into maximal removal intervals.
 
 Windows are judged on the input, within one document each, and both (all)
 occurrences of a repeated window go.  Null and empty texts have no words; texts
 shorter than a window lose nothing; repeated rows repeat each other's windows.
 Extra columns of any name pass through.  An empty table gives an empty result.
-Hashes have 64 bits: among n windows a false repeat is expected n*n / 2**65 times.
+Very long texts are handled as a whole.  Among n windows a false repeat is expected
+n*n / 2**129 times.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import (
+    OTHER_BYTE_POWERS,
+    OTHER_WORD_POWERS,
     U,
     WORD_POWERS,
     Words,
@@ -36,6 +41,10 @@ from .shared import (
 )
 
 
+#: Both hashes of a window.
+PAIR = np.dtype([("hash", "<u8"), ("other", "<u8")])
+
+
 def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word of every window, and the window's hash."""
     count = np.diff(words.first)
@@ -47,6 +56,18 @@ def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, span_hashes(words.hashes(), at, at + width, WORD_POWERS)
 
 
+def _pairs(words: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word of the windows whose hash is among the sorted ``hot``, and both hashes."""
+    at, h = _windows(words, width)
+    some = _member(hot, h)
+    at = at[some]
+    out = np.empty(len(at), dtype=PAIR)
+    out["hash"] = h[some]
+    if len(at):
+        out["other"] = span_hashes(words.hashes(OTHER_BYTE_POWERS), at, at + width, OTHER_WORD_POWERS)
+    return at, out
+
+
 def _block_keys(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct window hashes of a block and whether each occurs in it twice."""
     parts = []
@@ -126,22 +147,49 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
             }
         )
 
+    def ask_again(key, left, right):
+        """Both hashes of the windows that seem repeated, and whether the block has them twice."""
+        out = {"bucket": [], "block": [], "pairs": [], "twice": []}
+        if right.num_rows:
+            texts = texts_of(left)
+            keys, _ = _block_keys(texts, width)
+            edges = bucket_edges(keys, bits)
+            hot = []
+            for b, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist())):
+                own = keys[edges[b] : edges[b + 1]]
+                hot.append(own[_unpack(blob, len(own))])
+            hot = np.concatenate(hot)
+            found = np.sort(np.concatenate([_pairs(Words(texts[lo:hi]), width, hot)[1] for lo, hi in portions(texts)]))
+            pairs, at = group_sizes(found)
+            twice = np.diff(np.append(at, len(found))) > 1
+            edges = bucket_edges(pairs["hash"], bits)
+            for b in np.flatnonzero(np.diff(edges)):
+                out["bucket"].append(int(b))
+                out["block"].append(key[0].as_py())
+                out["pairs"].append(pairs[edges[b] : edges[b + 1]].tobytes())
+                out["twice"].append(_pack(twice[edges[b] : edges[b + 1]]))
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+
+    def confirm(key, table):
+        """For each block, those of its pairs that are repeated."""
+        blobs = [np.frombuffer(x, dtype=PAIR) for x in table.column("pairs").to_pylist()]
+        twice = [_unpack(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), blobs)]
+        every, where = np.unique(np.concatenate(blobs), return_inverse=True)
+        again = np.bincount(where, 1 + np.concatenate(twice), len(every)) > 1
+        parts = np.split(again[where], np.cumsum([len(k) for k in blobs])[:-1])
+        return pa.table({"block": table.column("block"), "pairs": pa.array([k[f].tobytes() for k, f in zip(blobs, parts)], pa.binary())})
+
     def cut(key, left, right):
         texts = texts_of(left)
-        keys, _ = _block_keys(texts, width) if right.num_rows else (np.zeros(0, dtype=U), None)
-        edges = bucket_edges(keys, bits)
-        hot = [np.zeros(0, dtype=U)]
-        for b, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist())):
-            own = keys[edges[b] : edges[b + 1]]
-            hot.append(own[_unpack(blob, len(own))])
-        hot = np.concatenate(hot)
+        hot = np.sort(np.frombuffer(b"".join(right.column("pairs").to_pylist()), dtype=PAIR))
+        seem = np.unique(hot["hash"])
         out = {"n_words": [], "n_removed": [], "intervals": [], "kept": [], "kept_sha256": []}
         for lo, hi in portions(texts):
             w = Words(texts[lo:hi])
             covered = np.zeros(len(w.starts) + 1, dtype=np.int64)
             if len(hot):
-                at, h = _windows(w, width)
-                at = at[_member(hot, h)]
+                at, pairs = _pairs(w, width, seem)
+                at = at[_member(hot, pairs)]
                 covered[at] += 1
                 np.subtract.at(covered, at + width, 1)
             covered = np.cumsum(covered[:-1]) > 0
@@ -162,5 +210,7 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
 
     asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, twice binary")
     answers = asked.groupBy("bucket").applyInArrow(count, "bucket int, block int, flags binary")
+    seeming = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_again, "bucket int, block int, pairs binary, twice binary")
+    repeated = seeming.groupBy("bucket").applyInArrow(confirm, "block int, pairs binary")
     schema = T.StructType(row_type.fields + T._parse_datatype_string(ROW_OUT).fields)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(cut, schema)
