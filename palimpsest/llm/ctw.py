@@ -10,19 +10,25 @@ leave at the nodes then give the predictive probability of any byte.
 Counting and evaluation are exact and distributed: no node is pruned and no part
 of the corpus is left out.  Blocks of documents send their distinct byte strings
 of length depth + 1 with training counts to hash buckets; merged counts go to
-groups by the last two context bytes, where subtrees are weighted; what lies
+branches by the last context byte and some bits of the one before (more bits for a
+larger corpus, up to all eight), where subtrees are weighted; what lies
 above depth 2 has at most 2**16 nodes of depth 1 and is finished once.  The log
 probability of each distinct string returns to the blocks that asked for it.
 Words are counted the same way for the unigram base score.
 
 A text is preceded by ``depth`` zero bytes and ended by the byte 0xFF, which is
-scored too, so probabilities of texts add up to 1.  Null texts are empty; rows
+scored too, so probabilities of texts add up to 1.  Texts of any length are scored
+whole.  Rows that repeat are learned from and scored once each; columns other than
+id and text are not looked at, whatever their names; an empty table gives no rows.
+Null texts are empty; rows
 with a null id are training rows; an empty training set leaves all estimates at
 one half.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -213,16 +219,18 @@ def string_scores(keys: np.ndarray, counts: np.ndarray, depth: int, upper) -> np
 
 # --------------------------------------------------------------------- operator
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Rows where ``held_out`` is not true are learned from.  ``score`` is the log10
     probability of the lower-cased text; ``base_score`` that of its words and one
-    end token under add-one unigram counts.
+    end token under add-one unigram counts.  ``bits_per_byte`` is the code length of
+    the text and its end mark for each of their bytes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     blocks, n_blocks = in_blocks(plain, "text", 16_000_000)
     bits = bucket_bits(n_blocks, 600_000)
+    split = min(8, 3 + max(0, (n_blocks // 64).bit_length()))
     strings_from = 1 << bits  # buckets of byte strings follow those of words
 
     def sides(table: pa.Table):
@@ -280,8 +288,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), packed)], schema=packed)
 
     def branch_of(strings: np.ndarray) -> np.ndarray:
-        """The last context byte and three bits of the one before."""
-        return (strings >> U(8 * depth) & U(255)).astype(np.int64) * 8 + (strings >> U(8 * depth - 8) & U(7)).astype(np.int64)
+        """The last context byte and some bits of the one before."""
+        before = (strings >> U(8 * depth - 8)).astype(np.int64) & ((1 << split) - 1)
+        return (strings >> U(8 * depth) & U(255)).astype(np.int64) << split | before
 
     def branch_strings(table: pa.Table):
         return tally([(np.frombuffer(k, dtype=U), np.frombuffer(c, dtype=np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())])
@@ -318,14 +327,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         if branch < 0 or not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "scores": pa.array([], pa.binary())})
         strings, counts = branch_strings(left)
-        last = branch // 8
+        last = branch >> split
         u = np.frombuffer(right.column("upper")[0].as_py()).reshape(4, 256)
         w1, one1 = np.zeros((256, 256)), np.zeros((256, 256))
         w1[last], one1[last] = u[0], u[1]
         scores = string_scores(strings, counts, depth, ((w1, one1), (u[2], u[3])))
         hashed = mix(strings)
         order = np.argsort(hashed)
-        hashed, scores = hashed[order], scores[order].astype(np.float32)
+        hashed, scores = hashed[order], scores[order]
         edges = bucket_edges(hashed, bits)
         used = np.flatnonzero(np.diff(edges))
         cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())
@@ -338,7 +347,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             known, values = tally(list(zip(keys, counts)))
         else:
             known = np.concatenate([np.frombuffer(x, dtype=U) for x in right.column("keys").to_pylist()])
-            values = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in right.column("scores").to_pylist()])
+            values = np.concatenate([np.frombuffer(x, dtype=np.float64) for x in right.column("scores").to_pylist()])
             order = np.argsort(known)
             known, values = known[order], values[order]
         found = [values[np.searchsorted(known, k)].tobytes() for k in keys]
@@ -349,7 +358,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         (word_keys, _), (string_keys, _) = block_keys(texts, held)
         blobs = sorted(zip(right.column("bucket").to_pylist(), right.column("values").to_pylist()))
         counts = np.frombuffer(b"".join(v for b, v in blobs if b < strings_from), dtype=np.int64)
-        scores = np.frombuffer(b"".join(v for b, v in blobs if b >= strings_from), dtype=np.float32)
+        scores = np.frombuffer(b"".join(v for b, v in blobs if b >= strings_from), dtype=np.float64)
         word_at, string_at = Places(word_keys), Places(string_keys)
         end = counts[word_at.of(END)][0]
         n_tokens, n_known, base, total = [], [], [], []
@@ -363,7 +372,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             n_known.append(of_texts(sums(c > 0)) + (end > 0))
             base.append(of_texts(sums(np.log10(c + 1.0))) + np.log10(end + 1.0))
             strings, begin = byte_strings(own, depth)
-            total.append(np.add.reduceat(scores[string_at.of(mix(strings))].astype(np.float64), begin))
+            total.append(np.add.reduceat(scores[string_at.of(mix(strings))], begin))
         row = left.column("row").combine_chunks()
         together = lambda x: np.concatenate(x) if x else np.zeros(0)
         return pa.table(
@@ -374,6 +383,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 "n_known": pa.array(together(n_known).astype(np.int64)),
                 "logs": pa.array(together(base).astype(np.float64)),
                 "score": pa.array(together(total).astype(np.float64)),
+                "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64()),
             }
         )
 
@@ -386,12 +396,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         .agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below", "tokens", "vocabulary")])
     )
     upper = summed.groupBy(F.lit(0).alias("all")).applyInArrow(finish, "last int, upper binary, tokens bigint, vocabulary bigint")
-    per_branch = upper.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("last") * 8 + k)).alias("branch"), "upper")
+    per_branch = upper.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit((1 << split) - 1)), lambda k: F.col("last") * (1 << split) + k)).alias("branch"), "upper")
     evaluated = merged.groupBy("branch").cogroup(per_branch.groupBy("branch")).applyInArrow(evaluate, "bucket int, keys binary, scores binary")
     answers = asked.groupBy("bucket").cogroup(evaluated.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, values binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint")
     totals = upper.filter("last = 0").select(F.col("tokens").alias("train_tokens"), "vocabulary")  # one row
     each = F.log10(F.col("train_tokens") + F.col("vocabulary") + F.lit(1))
     return scored.crossJoin(F.broadcast(totals)).select(
-        "id", "held_out", "n_tokens", "n_known", "train_tokens", (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score"
+        "id", "held_out", "n_tokens", "n_known", "train_tokens", (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score", (F.col("score") / (F.lit(-math.log10(2)) * F.col("n_bytes"))).alias("bits_per_byte")
     )
