@@ -8,8 +8,15 @@ stride, so slot k stands at byte ``(k % per_shard) * stride`` of shard
 slot, and another epoch is another key.
 
 A record is: document id (int64), number of the sequence in its document (int32),
-tokens in use (int32), then ``length`` ids as uint16, zero beyond those in use;
-all little-endian.  Every document ends with the end-of-text id.  Null texts are
+tokens in use (int32), then ``length`` ids, zero beyond those in use; all
+little-endian.  Ids have the 2 or 4 bytes that the vocabulary needs.
+
+``training_order`` returns the shards as binary rows; ``write_shards`` makes one
+file of each, under a name that appears only when the file is whole, so a writer
+that is lost or started again repeats only what is missing.  ``read_slots`` reads
+any range of slots from rows, ``ShardFiles`` from files, by seeking.
+
+Every document ends with the end-of-text id.  Null texts are
 empty and give one sequence that holds that id alone.  A null id is written as the
 least int64.  Repeated rows give repeated sequences with slots of their own.  Extra
 columns are not looked at.  An empty table gives no shard.
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -89,15 +97,23 @@ def byte_pairs(ranks: bytes, pattern: str):
 
 
 # ----------------------------------------------------------------------- shards
-def stride(length: int) -> int:
-    return HEAD.itemsize + 2 * length
+def id_bytes(ranks: bytes, end: int) -> int:
+    """Bytes of an id, by the largest of a rank file and the one that ends a text."""
+    most = max((int(x.rsplit(None, 1)[1]) for x in ranks.splitlines() if x.strip()), default=0)
+    return 2 if max(most, end) < 1 << 16 else 4
+
+
+def stride(length: int, width: int = 2) -> int:
+    return HEAD.itemsize + width * length
 
 
-def records(doc_id: int, ids: np.ndarray, end: int, length: int) -> list[bytes]:
-    """Fixed-stride records of one document."""
+def records(doc_id: int, ids: np.ndarray, end: int, length: int, width: int = 2) -> list[bytes]:
+    """Fixed-stride records of one document; an id that needs more bytes is an error."""
+    if max(end, int(ids.max(initial=0))) >> (8 * width):
+        raise ValueError(f"a token id needs more than {width} bytes")
     used = len(ids) + 1
     n = -(-used // length)
-    body = np.zeros((n, length), dtype="<u2")
+    body = np.zeros((n, length), dtype=f"<u{width}")
     body.ravel()[: used - 1], body.ravel()[used - 1] = ids, end
     head = np.zeros(n, dtype=HEAD)
     head["id"], head["part"] = doc_id, np.arange(n)
@@ -105,10 +121,10 @@ def records(doc_id: int, ids: np.ndarray, end: int, length: int) -> list[bytes]:
     return [h.tobytes() + b.tobytes() for h, b in zip(head, body)]
 
 
-def read_record(blob: bytes):
+def read_record(blob: bytes, width: int = 2):
     """(document id, number of the sequence, ids in use) of one record."""
     head = np.frombuffer(blob[: HEAD.itemsize], dtype=HEAD)[0]
-    return int(head["id"]), int(head["part"]), np.frombuffer(blob[HEAD.itemsize :], dtype="<u2")[: head["used"]]
+    return int(head["id"]), int(head["part"]), np.frombuffer(blob[HEAD.itemsize :], dtype=f"<u{width}")[: head["used"]]
 
 
 def training_order(
@@ -131,6 +147,7 @@ def training_order(
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
+    width = id_bytes(ranks, end)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the size of the vocabulary
 
     def write(batches):
@@ -142,7 +159,7 @@ def training_order(
             for lo, hi in portions(texts):
                 out = []
                 for i, t in zip(names[lo:hi], texts[lo:hi]):
-                    out += records(NO_ID if i is None else int(i), encoding.encode_to_numpy(t.decode(), disallowed_special=()), end, length)
+                    out += records(NO_ID if i is None else int(i), encoding.encode_to_numpy(t.decode(), disallowed_special=()), end, length, width)
                 place = np.arange(at, at + len(out), dtype=np.int64)
                 at += len(out)
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(out), pa.int32()), pa.array(place), pa.array(out, pa.binary())], names=["task", "place", "record"])
@@ -165,7 +182,7 @@ def training_order(
             yield pa.RecordBatch.from_arrays([pa.array(order.slot(index)), b.column(2)], names=["slot", "record"])
 
     shards = -(-total // per_shard)
-    tasks = max(1, min(shards, -(-total * stride(length) // 64_000_000), 100_000))
+    tasks = max(1, min(shards, -(-total * stride(length, width) // 64_000_000), 100_000))
     per_task = -(-max(1, shards) // tasks) * per_shard  # whole shards
     slots = written.mapInArrow(place, "slot bigint, record binary")
     ranged = slots.repartitionById(tasks, (F.col("slot") / F.lit(per_task)).cast("int")).sortWithinPartitions("slot")
@@ -195,10 +212,80 @@ def training_order(
     return ranged.mapInArrow(pack, "shard bigint, first_slot bigint, n_sequences bigint, n_tokens bigint, payload binary")
 
 
-def read_slots(shards: DataFrame, first: int, last: int, length: int = 512, per_shard: int = 2_048) -> DataFrame:
+def read_slots(shards: DataFrame, first: int, last: int, length: int = 512, per_shard: int = 2_048, width: int = 2) -> DataFrame:
     """(slot, record) for the slots first .. last - 1; only their shards are read."""
-    size = stride(length)
+    size = stride(length, width)
     near = shards.filter((F.col("shard") >= first // per_shard) & (F.col("shard") <= (last - 1) // per_shard))
     each = near.select("first_slot", "payload", F.explode(F.sequence(F.lit(0), (F.col("n_sequences") - 1).cast("int"))).alias("k"))
     found = each.select((F.col("first_slot") + F.col("k")).alias("slot"), F.substring("payload", F.col("k") * size + 1, F.lit(size)).alias("record"))
     return found.filter((F.col("slot") >= first) & (F.col("slot") < last))
+
+
+# ------------------------------------------------------------------------ files
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:010d}.bin"
+
+
+def write_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Write each shard as a file of ``folder`` and return (shard, first_slot, n_sequences, n_tokens, n_bytes, written).
+
+    ``folder`` is a URI of a file system that all executors reach.  A file gets its
+    name when it is whole; one that is there with its full length is left alone
+    (``written`` is false), so the same call finishes what an earlier one began.
+    The returned manifest is a table in ``folder``.  Nothing is written for an empty
+    table but the empty manifest.
+    """
+    shape = "shard bigint, first_slot bigint, n_sequences bigint, n_tokens bigint, n_bytes bigint, written boolean"
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            size, fresh = [], []
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+                name = f"{root}/{shard_name(shard)}"
+                size.append(len(payload))
+                fresh.append(store.get_file_info(name).size != len(payload))
+                if fresh[-1]:
+                    own = f"{name}.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(own) as out:
+                        out.write(payload)
+                    store.move(own, name)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64()), pa.array(fresh, pa.bool_())], schema=b.schema.remove(4).append(pa.field("n_bytes", pa.int64())).append(pa.field("written", pa.bool_())))
+
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    manifest = f"{folder.rstrip('/')}/manifest"
+    spark = shards.sparkSession
+    # a shard is about a megabyte: few rows at once
+    small_batches(spark, 16)
+    shards.select("shard", "first_slot", "n_sequences", "n_tokens", "payload").mapInArrow(run, shape).write.mode("overwrite").parquet(manifest)
+    return spark.read.schema(shape).parquet(manifest)
+
+
+class ShardFiles:
+    """Records of the shard files of a folder, from any slot on, without reading those before."""
+
+    def __init__(self, folder: str, length: int = 512, per_shard: int = 2_048, width: int = 2):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.size, self.per_shard = stride(length, width), per_shard
+
+    def read(self, first: int = 0, last: int | None = None):
+        """(slot, record) for the slots first .. last - 1, or up to the end."""
+        slot = first
+        while last is None or slot < last:
+            name = f"{self.root}/{shard_name(slot // self.per_shard)}"
+            if not self.store.get_file_info(name).is_file:
+                return
+            with self.store.open_input_file(name) as f:
+                f.seek(slot % self.per_shard * self.size)
+                while (last is None or slot < last) and len(blob := f.read(self.size)) == self.size:
+                    yield slot, blob
+                    slot += 1
+            if slot % self.per_shard:
+                return
