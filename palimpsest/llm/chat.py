@@ -37,40 +37,43 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, *UNESCAPE)
 
 
-def reply_paths(scratch: Scratch, nodes: DataFrame, best: int = 1) -> DataFrame:
+def reply_paths(scratch: Scratch, nodes: DataFrame, best: int = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, rank INT, pos LONG, node): the ``best`` paths of each tree.
 
     ``nodes(tree, node, parent, score)``; a null parent, or one that does not
-    exist, is a root.  A path scores the sum of its nodes; ties go to the smaller
-    leaf.  Iterative self-joins double the distance that each node sees, so a
+    exist in the tree, is a root.  Names of nodes hold within their tree.  Of rows
+    that repeat a node of a tree the one with the least parent (null first), then
+    the least score, counts (``unique``: there are none).  Rows with a null tree or
+    node take no part; a null score is 0; other columns, whatever their names, are
+    not looked at.  A path scores the sum of its nodes; ties go to the smaller leaf.  Iterative self-joins double the distance that each node sees, so a
     chain of n turns takes log2(n) rounds, and each round keeps one row a node.
     Nodes on a cycle have no root and belong to no path.
     """
-    known = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    exists = known.select(F.col("node").alias("parent")).distinct()
-    real = known.join(exists.withColumn("there", F.lit(True)), "parent", "left")
-    start = scratch.save(
-        real.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("span"), F.col("score").cast("double").alias("total"))
-    )
+    known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not unique:
+        known = known.filter("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("row")).select("tree", "node", "row.*")
+    exists = known.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    real = known.join(exists, ["tree", "parent"], "left")
+    start = scratch.save(real.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("span"), F.col("score").alias("total")))
     # jumps[i]: nodes with an ancestor 2**i above them; span and total cover what lies
     # below it.  A node that has reached its root is done and takes no further part.
     jumps, done, limit = [start.filter("up is not null")], start.filter("up is null"), start.count()
     while 1 << (len(jumps) - 1) <= limit and jumps[-1].limit(1).count():
         live = jumps[-1]
-        above = live.union(done).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
-        step = live.join(above, "up").select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
+        above = live.union(done).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("total").alias("total2"))
+        step = live.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("span") + F.col("span2")).alias("span"), (F.col("total") + F.col("total2")).alias("total"))
         step = scratch.save(step)
         done = done.union(step.filter("up is null"))
         jumps.append(step.filter("up is not null"))
-    parents = jumps[0].select(F.col("up").alias("node")).distinct()
-    leaves = done.join(parents, "node", "left_anti")
+    parents = jumps[0].select("tree", F.col("up").alias("node"))
+    leaves = done.join(parents, ["tree", "node"], "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
     # every distance below the span is one sum of powers of two: each node once
     path = scratch.save(chosen.select("tree", "rank", F.col("node").alias("leaf"), "node", (F.col("span") - 1).alias("pos")))
     for i in range(len(jumps) - 2, -1, -1):
-        hop = jumps[i].select("node", "up")
-        higher = path.join(hop, "node").select("tree", "rank", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << i)).alias("pos"))
+        hop = jumps[i].select("tree", "node", "up")
+        higher = path.join(hop, ["tree", "node"]).select("tree", "rank", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << i)).alias("pos"))
         path = scratch.save(path.union(higher.select(*path.columns)))
     return path.select("tree", "leaf", "rank", "pos", "node")
 
@@ -148,5 +151,5 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     scratch = Scratch(rows.sparkSession)
     nodes, turns = linear_conversations(rows)
     turns = scratch.save(turns)
-    paths = reply_paths(scratch, nodes)
+    paths = reply_paths(scratch, nodes, unique=True)  # numbered, so no node repeats
     return format_paths(paths.select("node", "pos").join(turns, "node").select("conv_id", "pos", "role", "text"), ["conv_id"], loss_role)

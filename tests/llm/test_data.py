@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import random
+import resource
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,6 +61,24 @@ def test_odd_trees(spark):
     assert chat.reply_paths(Scratch(spark), spark.createDataFrame([], NODES)).count() == 0
 
 
+def test_repeated_nodes_and_names(spark):
+    """Names hold within a tree; rows that repeat a node count once, by the least parent and score."""
+    chain = [("a", f"n{k:02}", f"n{k - 1:02}" if k else None, 1.0) for k in range(12)]
+    other = [("b", f"n{k:02}", f"n{k - 1:02}" if k else None, 1.0) for k in range(5)] + [("b", "n05", "n00", 9.0)]
+    odd = [("a", "n03", "n09", 7.0), ("a", "n04", "n03", 5.0), (None, "n00", None, 1.0), ("b", None, "n01", 1.0)]
+    rows = spark.createDataFrame(chain * 2 + other + odd, NODES).withColumn("rank", F.lit(1)).withColumn("up", F.lit("x"))
+    got: dict = {}
+    for r in chat.reply_paths(Scratch(spark), rows, best=2).orderBy("pos").collect():
+        got.setdefault((r["tree"], r["rank"]), []).append(r["node"])
+    assert got == {("a", 1): [f"n{k:02}" for k in range(12)], ("b", 1): ["n00", "n05"], ("b", 2): [f"n{k:02}" for k in range(5)]}
+
+
+def test_long_conversation_texts(spark):
+    text = "</turn> " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.read_conversations(chat.format_conversations(df)).first()["loss_texts"] == [text]
+
+
 def test_control_strings_come_back(spark):
     texts = ["</turn>", r"<\/turn>", "<turn>x<text>y</turn>", r"\</turn>", "<<text>", "a\nb", "", None, "<\\", "é</turn>é", "assistant"]
     rows = [(1, i, "assistant" if i % 2 else "user<text>", t) for i, t in enumerate(texts)] + [(None, 0, None, "hi"), (2, None, "assistant", "x"), (2, None, "assistant", "x")]
@@ -144,6 +166,64 @@ def test_held_out_accuracy(spark):
     assert all(r["tail"][0] >= r["tail"][1] for r in scored.limit(200).collect())
 
 
+def test_slopes_are_those_of_the_likelihood():
+    """The gradient against differences of a likelihood written out row by row."""
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(30)]
+    grades, heard, ridge = rng.integers(0, 4, 30), rng.random(30), 0.3
+    where = np.repeat(np.arange(30), [len(r) for r in rows])
+    column = np.concatenate(rows).astype(np.int64)
+
+    def loss(x):
+        w, t = x[:6], [x[6], x[6] + math.exp(x[7]), x[6] + math.exp(x[7]) + math.exp(x[8])]
+        total = ridge / 2 * sum(c * c for c in w)
+        for r, g, h in zip(rows, grades, heard):
+            s = sum(w[k] for k in r)
+            p = [1.0, *(1 / (1 + math.exp(c - s)) for c in t), 0.0]
+            total -= h * math.log(p[g] - p[g + 1])
+        return total
+
+    x = rng.normal(size=9) * 0.5
+    value, slope = quality.slopes(x[:6], x[6], x[7:], where, column, grades, heard, ridge)
+    assert value == pytest.approx(loss(x))
+    for k in range(9):
+        e = np.zeros(9)
+        e[k] = 1e-6
+        assert slope[k] == pytest.approx((loss(x + e) - loss(x - e)) / 2e-6, abs=1e-6)
+
+
+def plain_features(text):
+    """Names of the word features of a text, by their definition."""
+    seen = Counter()
+    for plain in {w.lower().strip(quality.STRIP) for w in text.encode().split()}:
+        seen.update({plain} | {plain[:n] + b" " for n in quality.PREFIXES if len(plain) > n})
+    return {(name, level) for name, n in seen.items() for level, least in enumerate(quality.TIMES) if n >= least}
+
+
+def test_scores_are_sums_of_weights(spark):
+    """The query's scores, grades and tails against features looked up one by one."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded_labels(spark.read.parquet(f"{d}/labels.parquet")), 3, marks=False)
+    weight = model.table()
+    assert len(weight) > 3
+    want = {r["doc_id"]: sum(weight.get(i, 0.0) for i in {quality.place(*f) for f in plain_features(r["text"] or "")}) for r in docs.collect()}
+    for r in quality.grade(docs, model).collect():
+        s = r["score"]
+        tail = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert s == pytest.approx(want[r["row"]["doc_id"]], abs=1e-9)
+        assert r["tail"] == pytest.approx(tail) and r["expected_grade"] == pytest.approx(sum(tail))
+
+
+def test_quality_of_repeated_rows(spark):
+    """Repeated ids and labels count once for each pair, and the bound holds after the join."""
+    docs = spark.createDataFrame([(k % 3, f"good words {k % 3} here", k) for k in range(60)], "doc_id bigint, text string, row int").withColumn("tail", F.lit("x"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (2, 2)], "doc_id bigint, grade int")
+    scored = quality.grade(docs, quality.fit(docs, labels, 3, sample=20)).collect()
+    assert len(scored) == 60 and {r["row"]["tail"] for r in scored} == {"x"}
+    assert len({(r["row"]["doc_id"], r["score"]) for r in scored}) == 3
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "word " * 100_000, 3)], "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (9, 2), (1, 7)], "doc_id bigint, grade int")
@@ -194,12 +274,28 @@ def test_unigram_search_is_best(model):
 
     rng = random.Random(1)
     words = {"▁" + "".join(rng.choice("abcdehinorst日") for _ in range(rng.randrange(1, 12))) for _ in range(400)}
-    for u, ids in e.segment(words).items():
+    for u, ids in e.segment(words):
         own = sum(e.v.score[i] if e.v.type[i] != pieces.BYTE else 0 for i in ids)
         own += e.v.lowest * (sum(e.v.type[i] == pieces.BYTE for i in ids) // 3)
         assert own == pytest.approx(best(u))
 
 
+def test_very_long_words(model):
+    """Memory in proportion to the word, which is not remembered afterwards; ids equal the library's."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(3)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(1_000_000))
+    e = pieces.Encoder(pieces.Vocabulary(model))
+    e.encode(["warm up"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = e.encode([blob, blob[:300_000] + " b"])
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 500
+    assert ids[0] == library.encode(blob) and e.decode(ids[1]) == blob[:300_000] + " b"
+    assert max(map(len, e.known)) <= pieces.LONG
+
+
 def test_tokenize_rows(spark, model):
     docs = spark.createDataFrame([(1, "Hello world", 5), (2, None, 6), (None, "", 7), (1, "Hello world", 5)], "doc_id bigint, text string, ids int")
     got = pieces.tokenize(docs, model).collect()
@@ -222,11 +318,9 @@ def test_permutation(n):
 
 
 def test_shards_hold_every_sequence_once(spark):
-    import base64
-
     ranks = queries.file_content("byte_bpe_50k.tiktoken")
     encoding = ordering.byte_pairs(ranks, queries.SPLIT_PATTERN)
-    assert queries.END_OF_TEXT not in {int(x.split()[1]) for x in ranks.splitlines()} and base64
+    assert queries.END_OF_TEXT not in {int(x.split()[1]) for x in ranks.splitlines()}
     docs = [(i, " ".join(f"word{i * k}" for k in range(i))) for i in range(40)] + [(40, None), (41, "<|endoftext|>"), (None, "x"), (5, "again"), (5, "again")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, slot int").repartition(5)
     shards = ordering.training_order(df, ranks, queries.SPLIT_PATTERN, queries.END_OF_TEXT, length=16, per_shard=8)
@@ -250,6 +344,41 @@ def test_shards_hold_every_sequence_once(spark):
     assert ordering.training_order(df.limit(0), ranks, queries.SPLIT_PATTERN, queries.END_OF_TEXT).count() == 0
 
 
+def test_slots_are_the_permutation_of_places(spark, tmp_path):
+    """Sequence number i stands in slot(i), in rows and in files; files are resumed and read from any slot."""
+    ranks = b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256))
+    docs = [(i, "x" * (7 * i % 40)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    shards = ordering.training_order(df, ranks, queries.SPLIT_PATTERN, 256, key=b"k", length=8, per_shard=10)
+    places = [(i, part) for i, t in docs for part in range(-(-(len(t) + 1) // 8))]
+    order = ordering.Feistel(len(places), b"k")
+    want = dict(zip(order.slot(np.arange(len(places))).tolist(), places))
+    assert [want[k] for k in range(len(places))] != places
+    folder = f"file://{tmp_path}/shards"
+    first = ordering.write_shards(shards, folder).collect()
+    assert all(r["written"] for r in first) and [r["n_bytes"] for r in first] == [r["n_sequences"] * ordering.stride(8) for r in first]
+    files = ordering.ShardFiles(folder, 8, 10)
+    found = [(slot, ordering.read_record(blob)) for slot, blob in files.read()]
+    assert [s for s, _ in found] == list(range(len(places)))
+    assert {s: x[:2] for s, x in found} == want
+    assert list(files.read(13, 27)) == [(s, b) for s, b in files.read() if 13 <= s < 27]
+    # a lost and a torn file are written again, the others are left
+    (tmp_path / "shards" / ordering.shard_name(1)).unlink()
+    (tmp_path / "shards" / ordering.shard_name(2)).write_bytes(b"torn")
+    again = {r["shard"]: r["written"] for r in ordering.write_shards(shards, folder).collect()}
+    assert [s for s, w in again.items() if w] == [1, 2] and not list((tmp_path / "shards").glob("*.part"))
+    assert [b for _, b in files.read()] == [b for _, b in files.read(0, len(places))] and len(list(files.read())) == len(places)
+    assert ordering.write_shards(shards.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_width_of_ids():
+    assert ordering.id_bytes(b"YQ== 0\nYg== 70000", 5) == 4 and ordering.id_bytes(b"YQ== 0", 65_535) == 2
+    blob = ordering.records(1, np.array([70_000]), 5, 4, 4)[0]
+    assert ordering.read_record(blob, 4)[2].tolist() == [70_000, 5]
+    with pytest.raises(ValueError):
+        ordering.records(1, np.array([70_000]), 5, 4, 2)
+
+
 # ------------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
@@ -283,3 +412,16 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         for k, (_, stage) in enumerate(p.STAGES):
             stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/{n}{k}")
             docs = spark.read.parquet(f"file://{tmp_path}/{n}{k}")
+
+
+def test_near_duplicates_of_rows_with_clashing_names(spark):
+    """Columns named like ours, repeated ids with different texts, and null ids stay whole."""
+    import corpus_pipeline as p
+
+    words = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    shape = "doc_id bigint, text string, again bigint, gone bigint, node string, row int, id int"
+    rows = [(1, words[0]), (2, words[0]), (2, words[1]), (2, words[1]), (3, words[2]), (None, words[2]), (None, None)]
+    docs = spark.createDataFrame([(*r, 7, 8, "n", 9, 1) for r in rows], shape)
+    got = p.drop_near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, words[0]), (2, words[1]), (3, words[2]), (None, words[2]), (None, None)], key=repr)
