@@ -41,6 +41,8 @@ from .shared import (
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of this many fingerprints or fewer is compared pair by pair.
 SMALL_BUCKET = 32
+#: Longs of the sketch of a shingle set.
+SKETCH = 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -160,14 +162,24 @@ def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     return np.unique(span_hashes(h, at, at + min(size, len(h)), WORD_POWERS))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A set as ``SKETCH`` longs: each of its members flips one bit.
+
+    Two sets that differ in d members have sketches that differ in d bits or fewer.
+    """
+    flips = np.bincount((hashes % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(h, node, n, pos, often): shingles by which a text meets all that are similar to it.
+    """(h, node, n, pos, often, sketch): shingles by which a text meets all that are similar to it.
 
     Let every text order its n shingles by how often the corpus holds them, then by
     hash.  Two texts that reach the similarity share at least ceil(similarity * n)
     of them, so the first one they share is among the n - ceil(similarity * n) + 1
     first of either, at ``pos``.  Those that occur once in the corpus are left out.
     ``often`` is the logarithm of the count; ``texts(node, text)`` may repeat texts.
+    ``sketch`` is the text's ``parity``, on one of its rows only.
     """
     blocks, n_blocks = in_blocks(texts, "text")
     bits = bucket_bits(n_blocks, 1_300_000)
@@ -219,7 +231,7 @@ def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame
         keys, _ = keys_of(sets)
         answers = sorted(zip(right.column("bucket").to_pylist(), right.column("often").to_pylist()))
         often = np.frombuffer(b"".join(x for _, x in answers), dtype=np.uint8)
-        nodes, found = [], [np.zeros((0, 4), dtype=np.int64)]
+        nodes, found, sketches = [], [np.zeros((0, 4), dtype=np.int64)], []
         for node, h in sets.items():
             if not len(h):
                 continue
@@ -228,13 +240,14 @@ def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame
             pos = np.flatnonzero(c[order])
             order = order[pos]
             nodes += [node] * len(pos)
+            sketches += [parity(h)] * min(1, len(pos)) + [None] * (len(pos) - 1)
             found.append(np.stack([h[order].view(np.int64), np.full(len(pos), len(h)), pos, c[order].astype(np.int64)], axis=1))
         h, n, pos, c = np.concatenate(found).T
-        return pa.table({"h": pa.array(h), "node": pa.array(nodes, pa.binary()), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "often": pa.array(c.astype(np.int32))})
+        return pa.table({"h": pa.array(h), "node": pa.array(nodes, pa.binary()), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "often": pa.array(c.astype(np.int32)), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
     asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(count, "bucket int, block int, often binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, "h bigint, node binary, n int, pos int, often int")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(emit, "h bigint, node binary, n int, pos int, often int, sketch array<bigint>")
 
 
 def text_node(text: Column) -> Column:
@@ -261,7 +274,8 @@ def near_duplicates(
     candidates come from an exact prefix filter (``shared_prefixes``), and the sets
     decide.  Members of buckets of more than ``crowded`` texts are first compared
     with one of them, ``rounds`` times; then all pairs of a bucket are but those
-    linked already, in parts of ``part_rows``.  Documents that are alone do not
+    linked already, in parts of ``part_rows``.  Pairs whose places in the bucket or
+    whose sketches show that they cannot reach the similarity are not even formed.  Documents that are alone do not
     appear.  Rows with a null id or no words are left alone.
     """
     spark = docs.sparkSession
@@ -280,6 +294,11 @@ def near_duplicates(
         rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
         return rest * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
 
+    def alike():
+        """Whether the sketches of a and b differ in no more bits than the sets may in members."""
+        bits = sum(F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH))
+        return bits * (1 + similarity) <= (F.col("a.n") + F.col("b.n")) * (1 - similarity) + 1e-6
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose shingles overlap enough; texts travel once per document."""
         pairs = scratch.save(pairs.distinct())
@@ -311,6 +330,7 @@ def near_duplicates(
     lists = found.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least"), F.min("often").alias("often"))
     kept = lists.filter("m > 1").groupBy("m", "x", "least").agg(F.min(F.struct("often", "h")).alias("first")).select(F.col("first.h").alias("h"), "m")
     buckets = scratch.save(found.select("h", "node", "n", "pos").join(kept, "h"))
+    sketches = scratch.save(found.filter("sketch is not null").select("node", "sketch"))
     scratch.drop(found)
 
     def owned(owner: DataFrame | None) -> DataFrame:
@@ -324,24 +344,28 @@ def near_duplicates(
         big = owned(owner).filter(F.col("m") > crowded)
         if not big.limit(1).count():
             break
-        lead = big.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.xxhash64("node", F.lit(turn))).alias("b"))
+        # first the member with the fewest rarer shingles, which is nearest to what the others share
+        first = [] if turn else ["pos"]
+        lead = big.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.struct(*first, F.xxhash64("node", F.lit(turn)))).alias("b"))
         met = big.alias("a").join(lead, "h").filter((F.col("a.comp") != F.col("b.comp")) & first_shared())
         ok = verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
-        links = ok if links is None else scratch.save(links.union(ok))
+        links = ok if links is None else links.union(ok)
         owner = scratch.save(components(scratch, links).filter("node != root").select("node", F.col("root").alias("comp")))
 
     # a crowded bucket is dealt into parts, and each two of its parts meet in one task
     members = owned(owner)
     mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    members = scratch.save(members.join(mixed, "h", "left_semi"))
+    members = scratch.save(members.join(mixed, "h", "left_semi").join(sketches, "node"))
+    scratch.drop(buckets, sketches)
     n_parts = F.ceil(F.col("m") / F.lit(part_rows)).cast("int")
     left = members.withColumn("part", F.pmod(F.xxhash64("node"), n_parts).cast("int"))
     right = members.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
     met = left.alias("a").join(
         right.alias("b"),
-        (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & first_shared(),
+        (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & first_shared() & alike(),
     )
     ok = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    scratch.drop(members)
     links = ok if links is None else links.union(ok)
     named = exact.join(components(scratch, links).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = named.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
