@@ -2,17 +2,18 @@
 
 Every window of ``width`` consecutive words gets a Rabin-Karp hash.  Blocks of
 documents send their distinct window hashes to the buckets that own them, where
-they are counted over the corpus; each block learns which of its hashes are
-repeated.  Those few are counted once more together with a second hash of other
-bases, so a window is told from others by 128 bits, and each block merges the
-windows that are repeated into maximal removal intervals.
+they are counted over the corpus.  A bucket is named by the leading bits, so five
+more bytes of a hash are enough to tell which windows seem repeated.  Those are
+counted once more by a second hash of other bases, and each block merges the
+windows that are confirmed into maximal removal intervals.
 
 Windows are judged on the input, within one document each, and both (all)
 occurrences of a repeated window go.  Null and empty texts have no words; texts
 shorter than a window lose nothing; repeated rows repeat each other's windows.
 Extra columns of any name pass through.  An empty table gives an empty result.
-Very long texts are handled as a whole.  Among n windows a false repeat is expected
-n*n / 2**129 times.
+Very long texts are handled as a whole.  A window that is not repeated is taken for
+one only if its second hash equals that of a confirmed window of its own block: among
+n windows, m of them confirmed in a block, that is expected n*m / 2**64 times.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import (
+    BYTE_POWERS,
     OTHER_BYTE_POWERS,
     OTHER_WORD_POWERS,
     U,
@@ -41,31 +43,26 @@ from .shared import (
 )
 
 
-#: Both hashes of a window.
-PAIR = np.dtype([("hash", "<u8"), ("other", "<u8")])
+def _shorten(hashes: np.ndarray, size: int) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word of every window, and the window's hash."""
+def _shortened(blob: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(blob) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def _windows(words: Words, width: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word of every window, and the window's hash or its ``other`` one."""
     count = np.diff(words.first)
     total = len(words.starts)
     if total < width:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     left = np.repeat(words.first[1:], count) - np.arange(total)  # words from here to the end of the text
     at = np.flatnonzero(left >= width)
-    return at, span_hashes(words.hashes(), at, at + width, WORD_POWERS)
-
-
-def _pairs(words: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word of the windows whose hash is among the sorted ``hot``, and both hashes."""
-    at, h = _windows(words, width)
-    some = _member(hot, h)
-    at = at[some]
-    out = np.empty(len(at), dtype=PAIR)
-    out["hash"] = h[some]
-    if len(at):
-        out["other"] = span_hashes(words.hashes(OTHER_BYTE_POWERS), at, at + width, OTHER_WORD_POWERS)
-    return at, out
+    of_bytes, of_words = (OTHER_BYTE_POWERS, OTHER_WORD_POWERS) if other else (BYTE_POWERS, WORD_POWERS)
+    return at, span_hashes(words.hashes(of_bytes), at, at + width, of_words)
 
 
 def _block_keys(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +100,12 @@ def _intervals(covered: np.ndarray) -> list[tuple[int, int]]:
 ROW_OUT = "n_words bigint, n_removed bigint, intervals array<struct<first:bigint,end:bigint>>, kept string, kept_sha256 string"
 
 
-def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int = 35, with_text: bool = True) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int = 35, with_text: bool = True, short: int = 5) -> DataFrame:
     """(row STRUCT of all columns, n_words, n_removed, intervals, kept, kept_sha256).
 
     ``intervals`` are the removed runs of words; ``kept`` joins the other words by
     one space (null unless ``with_text``) and ``kept_sha256`` is its digest.
+    ``short``: how many bytes of a hash travel besides its bucket at first.
     """
     blocks, n_blocks = in_blocks(docs, text_col)
     bits = bucket_bits(n_blocks, 1_300_000)
@@ -125,13 +123,13 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
             {
                 "bucket": pa.array(used.astype(np.int32)),
                 "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
-                "keys": pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
+                "keys": pa.array([_shorten(keys[edges[b] : edges[b + 1]], short) for b in used], pa.binary()),
                 "twice": pa.array([_pack(twice[edges[b] : edges[b + 1]]) for b in used], pa.binary()),
             }
         )
 
     def count(key, table):
-        blobs = [np.frombuffer(x, dtype=U) for x in table.column("keys").to_pylist()]
+        blobs = [_shortened(x, short) for x in table.column("keys").to_pylist()]
         twice = [_unpack(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), blobs)]
         h = np.sort(np.concatenate(blobs))
         keys, at = group_sizes(h)
@@ -148,8 +146,8 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
         )
 
     def ask_again(key, left, right):
-        """Both hashes of the windows that seem repeated, and whether the block has them twice."""
-        out = {"bucket": [], "block": [], "pairs": [], "twice": []}
+        """The second hashes of the windows that seem repeated, and whether the block has them twice."""
+        out = {"bucket": [], "block": [], "others": [], "twice": []}
         if right.num_rows:
             texts = texts_of(left)
             keys, _ = _block_keys(texts, width)
@@ -158,38 +156,43 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
             for b, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist())):
                 own = keys[edges[b] : edges[b + 1]]
                 hot.append(own[_unpack(blob, len(own))])
-            hot = np.concatenate(hot)
-            found = np.sort(np.concatenate([_pairs(Words(texts[lo:hi]), width, hot)[1] for lo, hi in portions(texts)]))
-            pairs, at = group_sizes(found)
+            del keys
+            hot, found = np.concatenate(hot), []
+            for lo, hi in portions(texts):
+                w = Words(texts[lo:hi])
+                some = _member(hot, _windows(w, width)[1])
+                if some.any():
+                    found.append(_windows(w, width, other=True)[1][some])
+            found = np.sort(np.concatenate(found))
+            others, at = group_sizes(found)
             twice = np.diff(np.append(at, len(found))) > 1
-            edges = bucket_edges(pairs["hash"], bits)
+            edges = bucket_edges(others, bits)
             for b in np.flatnonzero(np.diff(edges)):
                 out["bucket"].append(int(b))
                 out["block"].append(key[0].as_py())
-                out["pairs"].append(pairs[edges[b] : edges[b + 1]].tobytes())
+                out["others"].append(others[edges[b] : edges[b + 1]].tobytes())
                 out["twice"].append(_pack(twice[edges[b] : edges[b + 1]]))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
     def confirm(key, table):
-        """For each block, those of its pairs that are repeated."""
-        blobs = [np.frombuffer(x, dtype=PAIR) for x in table.column("pairs").to_pylist()]
-        twice = [_unpack(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), blobs)]
-        every, where = np.unique(np.concatenate(blobs), return_inverse=True)
-        again = np.bincount(where, 1 + np.concatenate(twice), len(every)) > 1
-        parts = np.split(again[where], np.cumsum([len(k) for k in blobs])[:-1])
-        return pa.table({"block": table.column("block"), "pairs": pa.array([k[f].tobytes() for k, f in zip(blobs, parts)], pa.binary())})
+        """For each block, those of its second hashes that are repeated."""
+        blobs = [np.frombuffer(x, dtype=U) for x in table.column("others").to_pylist()]
+        twice = [k[_unpack(x, len(k))] for x, k in zip(table.column("twice").to_pylist(), blobs)]
+        h = np.sort(np.concatenate(blobs + twice))
+        keys, at = group_sizes(h)
+        again = keys[np.diff(np.append(at, len(h))) > 1]
+        return pa.table({"block": table.column("block"), "others": pa.array([k[_member(again, k)].tobytes() for k in blobs], pa.binary())})
 
     def cut(key, left, right):
         texts = texts_of(left)
-        hot = np.sort(np.frombuffer(b"".join(right.column("pairs").to_pylist()), dtype=PAIR))
-        seem = np.unique(hot["hash"])
+        hot = np.sort(np.frombuffer(b"".join(right.column("others").to_pylist()), dtype=U))
         out = {"n_words": [], "n_removed": [], "intervals": [], "kept": [], "kept_sha256": []}
         for lo, hi in portions(texts):
             w = Words(texts[lo:hi])
             covered = np.zeros(len(w.starts) + 1, dtype=np.int64)
             if len(hot):
-                at, pairs = _pairs(w, width, seem)
-                at = at[_member(hot, pairs)]
+                at, h = _windows(w, width, other=True)
+                at = at[_member(hot, h)]
                 covered[at] += 1
                 np.subtract.at(covered, at + width, 1)
             covered = np.cumsum(covered[:-1]) > 0
@@ -210,7 +213,7 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
 
     asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, twice binary")
     answers = asked.groupBy("bucket").applyInArrow(count, "bucket int, block int, flags binary")
-    seeming = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_again, "bucket int, block int, pairs binary, twice binary")
-    repeated = seeming.groupBy("bucket").applyInArrow(confirm, "block int, pairs binary")
+    seeming = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_again, "bucket int, block int, others binary, twice binary")
+    repeated = seeming.groupBy("bucket").applyInArrow(confirm, "block int, others binary")
     schema = T.StructType(row_type.fields + T._parse_datatype_string(ROW_OUT).fields)
     return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(cut, schema)

@@ -235,6 +235,23 @@ def test_windows(spark, seed):
         assert all(a["end"] < b["first"] for a, b in zip(r["intervals"], r["intervals"][1:]))
 
 
+@pytest.mark.parametrize("short", [1, 2])
+def test_windows_that_only_seem_repeated(spark, short):
+    """Hashes cut to so few bytes that most windows seem repeated: the second hash decides."""
+    rng = random.Random(short)
+    rows = [(i, " ".join(str(rng.randrange(60)) for _ in range(rng.randrange(80)))) for i in range(60)]
+    rows += [(60 + i, rows[i][1][:60]) for i in range(5)] + [(70, " ".join(str(rng.randrange(10**6)) for _ in range(60_000)))]
+
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = windows.remove_repeated_windows(df, width=5, short=short).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_cut(rows, 5)
+
+
+def test_short_hashes():
+    h = np.array([0, 1, 2**40 - 1, 2**63 + 5], dtype=U)
+    assert windows._shortened(windows._shorten(h, 5), 5).tolist() == [0, 1, 2**40 - 1, 5]
+
+
 def test_windows_of_nothing(spark):
     assert windows.remove_repeated_windows(spark.createDataFrame([], DOCS)).count() == 0
 
