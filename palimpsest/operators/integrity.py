@@ -5,6 +5,8 @@ These compute and check; they are no security boundary.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,33 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("pos")
 
 
+def descent(a: list[DataFrame], b: list[DataFrame], fan_out: int = FAN_OUT) -> DataFrame:
+    """(level, pos): nodes that differ between two trees, from the roots down.
+
+    Below the root only the children of nodes that differ are looked at.
+    """
+    out, near = None, None
+    for level in range(len(a) - 1, -1, -1):
+        x, y = a[level], b[level]
+        if near is not None:
+            mine = lambda t: t.join(near, int_div(F.col("pos"), fan_out) == F.col("parent"), "left_semi")
+            x, y = mine(x), mine(y)
+        found = differing(x, y)
+        near = found.select(F.col("pos").alias("parent"))
+        own = found.select(F.lit(level).alias("level"), "pos")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def levels_above(n: Column, fan_out: int = FAN_OUT) -> Column:
+    """``height`` of a tree over n leaves, for any long."""
+    most, reach = [], fan_out
+    while reach < 1 << 63:
+        most.append(reach)
+        reach *= fan_out
+    return sum((n > F.lit(m)).cast("int") for m in most) + F.lit(1)
+
+
 def node_shape(n: Column, pos: Column, at_height: int, fan_out: int = FAN_OUT) -> tuple[Column, Column]:
     """(complete?, complete children) of a node at a height over n leaves in all."""
     below = fan_out ** (at_height - 1)
@@ -62,34 +91,64 @@ def node_shape(n: Column, pos: Column, at_height: int, fan_out: int = FAN_OUT) -
 
 # ------------------------------------------------------------------------------ chain
 def link(previous: Column, payload: Column) -> Column:
-    """The checksum of a block given the one before it."""
-    return F.sha2(F.concat(F.coalesce(previous, F.lit("")), payload).cast("binary"), 256)
+    """The checksum of a block given that of the one before it."""
+    return F.sha2(F.concat(F.coalesce(previous, F.lit("")), F.sha2(payload.cast("binary"), 256)).cast("binary"), 256)
 
 
 def chained(blocks: DataFrame, by: str) -> DataFrame:
-    """(by, pos, payload, pre_mac, mac): each block linked to the payload of the one before."""
-    own = F.sha2(F.col("payload").cast("binary"), 256)
-    before = F.lag("own").over(Window.partitionBy(by).orderBy("pos"))
-    return blocks.withColumn("own", own).withColumn("pre_mac", before).withColumn("mac", link(F.col("pre_mac"), F.col("payload"))).drop("own")
+    """(by, pos, payload, pre_mac, mac): each block linked to the checksum of the one before.
+
+    A checksum needs the one before it, so a chain is followed in order; a task
+    streams through its sorted chains and holds one checksum, however long they are.
+    """
+
+    def follow(batches):
+        import pyarrow as pa
+
+        held, last = None, None
+        for b in batches:
+            before, after = [], []
+            for chain, digest in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                if held is None or held[0] != chain:
+                    held, last = (chain,), None
+                before.append(last)
+                last = hashlib.sha256(((last or "") + digest).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*b.schema.names[:3], "pre_mac", "mac"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    ordered = blocks.select(by, "pos", "payload", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")).repartition(by).sortWithinPartitions(by, "pos")
+    return ordered.mapInArrow(follow, f"`{by}` {kinds[by]}, pos {kinds['pos']}, payload {kinds['payload']}, pre_mac string, mac string")
 
 
 def folded(blocks: DataFrame, by: str) -> DataFrame:
-    """(by, n, mac): the running checksum over all blocks of a chain, in order."""
-    parts = F.sort_array(F.collect_list(F.struct("pos", "payload")))
-    step = lambda acc, x: F.sha2(F.concat(acc, x["payload"]).cast("binary"), 256)
-    return blocks.groupBy(by).agg(parts.alias("p")).select(by, F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(""), step).alias("mac"))
+    """(by, n, mac): the checksum of the last block of each chain, which stands for all of it."""
+    return chained(blocks, by).groupBy(by).agg(F.count("*").alias("n"), F.max_by("mac", "pos").alias("mac"))
+
 
+def verified(chain: DataFrame, by: str, first: int = 0) -> DataFrame:
+    """Adds ``ok``: the stored checksum is right and names that of the block before, which is there.
 
-def verified(chain: DataFrame, by: str) -> DataFrame:
-    """Adds ``ok``: the stored checksum is right and names the one before."""
-    again = link(F.col("pre_mac"), F.col("payload"))
-    return chain.withColumn("ok", F.col("mac") == again)
+    ``first``: where the readable part begins; the link of that block to what was
+    trimmed is taken as given.
+    """
+    order = Window.partitionBy(by).orderBy("pos")
+    own = F.col("mac") == link(F.col("pre_mac"), F.col("payload"))
+    begins = (F.col("pos") == first) & (F.lit(True) if first else F.col("pre_mac").isNull())
+    follows = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("mac").over(order) == F.col("pre_mac"))
+    linked = F.when(F.lag("pos").over(order).isNull(), begins).otherwise(F.coalesce(follows, F.lit(False)))
+    return chain.withColumn("ok", F.coalesce(own, F.lit(False)) & linked)
 
 
-def valid_prefix(chain: DataFrame, by: str) -> DataFrame:
+def valid_prefix(chain: DataFrame, by: str, first: int = 0) -> DataFrame:
     """Blocks before the first that fails."""
     bad = F.max(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy(by).orderBy("pos"))
-    return verified(chain, by).withColumn("bad", bad).filter("bad = 0").drop("bad", "ok")
+    return verified(chain, by, first).withColumn("bad", bad).filter("bad = 0").drop("bad", "ok")
+
+
+def recovered(chain: DataFrame, by: str, first: int) -> DataFrame:
+    """The longest valid prefix of what a chain holds from block ``first`` on."""
+    return valid_prefix(trimmed(chain, first), by, first)
 
 
 def trimmed(chain: DataFrame, first: int) -> DataFrame:
@@ -103,9 +162,18 @@ def block_range(chain: DataFrame, by: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- authenticated encryption
+def key_of(name: Column) -> Column:
+    """A 16-byte key that depends on a name only, so that tests repeat."""
+    return F.substring(F.unhex(F.sha2(name.cast("binary"), 256)), 1, 16)
+
+
 def block_key(seed: str, pos: Column) -> Column:
-    """A 16-byte key that depends on seed and position, so that tests repeat."""
-    return F.substring(F.unhex(F.sha2(F.concat_ws("|", F.lit(seed), pos.cast("string")).cast("binary"), 256)), 1, 16)
+    return key_of(F.concat_ws("|", F.lit(seed), pos.cast("string")))
+
+
+def unsealed(name: Column) -> Column:
+    """The content of (pos, iv, cipher, mac) under the key of that name; null where it was changed."""
+    return F.try_aes_decrypt(F.concat("iv", "cipher", "mac"), key_of(name), F.lit("GCM"), F.lit("DEFAULT"), F.col("pos").cast("string").cast("binary"))
 
 
 def sealed(blocks: DataFrame, seed: str) -> DataFrame:
@@ -120,8 +188,7 @@ def sealed(blocks: DataFrame, seed: str) -> DataFrame:
 
 def opened(rows: DataFrame, seed: str) -> DataFrame:
     """(pos, payload): null where the block was changed."""
-    blob = F.concat("iv", "cipher", "mac")
-    text = F.try_aes_decrypt(blob, block_key(seed, F.col("pos")), F.lit("GCM"), F.lit("DEFAULT"), F.col("pos").cast("string").cast("binary"))
+    text = unsealed(F.concat_ws("|", F.lit(seed), F.col("pos").cast("string")))
     return rows.select("pos", text.cast("string").alias("payload"))
 
 

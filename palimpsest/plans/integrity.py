@@ -34,13 +34,14 @@ def merkle_root(spark, d):
     return integrity.tree(leaf_blocks(spark, d), _n(spark, d))[-1].select("hash", "n")
 
 
-@query("SELECT count(*) AS n_leaves, CAST(CASE WHEN count(*) <= 102 THEN 1 WHEN count(*) <= 102 * 102 THEN 2 WHEN count(*) <= 102 * 102 * 102 THEN 3 ELSE 4 END AS INTEGER) AS height FROM documents")
+@query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
+h AS (SELECT 1 AS height, 102::HUGEINT AS reach UNION ALL SELECT height + 1, reach * 102 FROM h, n WHERE reach < n)
+SELECT n AS n_leaves, max(height) AS height FROM h, n GROUP BY n"""
+)
 def merkle_height(spark, d):
     n = table(spark, d, "documents").agg(F.count("*").alias("n_leaves"))
-    h, reach = F.lit(4), 102**3
-    for k in (3, 2, 1):
-        h = F.when(F.col("n_leaves") <= 102**k, k).otherwise(h)
-    return n.select("n_leaves", h.cast("int").alias("height"))
+    return n.select("n_leaves", integrity.levels_above(F.col("n_leaves")).alias("height"))
 
 
 TAMPERED = "t0 AS (SELECT doc_id AS pos, sha256(CASE WHEN doc_id IN (5, 150, 151) THEN text || '!' ELSE coalesce(text, '') END) AS hash FROM documents)"
@@ -58,8 +59,8 @@ UNION ALL SELECT 1, l1.pos FROM l1 JOIN t1 USING (pos) WHERE l1.hash <> t1.hash"
 )
 def merkle_tampered_nodes(spark, d):
     a, b = integrity.leaves(leaf_blocks(spark, d)), integrity.leaves(_tampered(spark, d))
-    one = integrity.differing(integrity.next_level(a), integrity.next_level(b)).select(F.lit(1).alias("level"), "pos")
-    return integrity.differing(a, b).select(F.lit(0).alias("level"), "pos").union(one)
+    tall = lambda x: [x, integrity.next_level(x).select("pos", "hash")]
+    return integrity.descent(tall(a), tall(b))
 
 
 @query(
@@ -75,10 +76,10 @@ def merkle_incomplete_nodes(spark, d):
 
 
 # ------------------------------------------------------------------------------ chains
-CHAIN = """chain AS (
-  SELECT conv_id, turn AS pos, text AS payload, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS pre_mac,
-    sha256(coalesce(lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn), '') || text) AS mac
-  FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)
+CHAIN = """RECURSIVE b AS (SELECT conv_id, turn AS pos, coalesce(text, '') AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+chain AS (
+  SELECT conv_id, k, pos, payload, CAST(NULL AS VARCHAR) AS pre_mac, sha256(sha256(payload)) AS mac FROM b WHERE k = 1
+  UNION ALL SELECT b.conv_id, b.k, b.pos, b.payload, c.mac, sha256(c.mac || sha256(b.payload)) FROM chain c JOIN b ON b.conv_id = c.conv_id AND b.k = c.k + 1
 )"""
 
 
@@ -110,17 +111,46 @@ def chain_valid_prefix(spark, d):
     return integrity.valid_prefix(_broken(spark, d), "conv_id").select("conv_id", "pos")
 
 
+@query("SELECT conv_id, turn AS pos FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn >= 1)")
+def chain_without_a_block(spark, d):
+    lost = (F.col("conv_id") % 3 == 0) & (F.col("pos") == 1)
+    return integrity.valid_prefix(_chain(spark, d).filter(~lost), "conv_id").select("conv_id", "pos")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT conv_id - 1 AS conv_id FROM conversations WHERE turn = 1)
+SELECT c.conv_id, c.turn AS pos FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id WHERE NOT (n.conv_id IS NOT NULL AND c.conv_id % 3 = 0 AND turn >= 1)"""
+)
+def chain_spliced(spark, d):
+    chain = _chain(spark, d)
+    other = chain.filter("pos = 1 AND (conv_id - 1) % 3 = 0").select((F.col("conv_id") - 1).alias("conv_id"), "pos", F.struct("payload", "pre_mac", "mac").alias("other"))
+    put = lambda c: F.when(F.col("other").isNotNull(), F.col("other")[c]).otherwise(F.col(c)).alias(c)
+    spliced = chain.join(other, ["conv_id", "pos"], "left").select("conv_id", "pos", *[put(c) for c in ("payload", "pre_mac", "mac")])
+    return integrity.valid_prefix(spliced, "conv_id").select("conv_id", "pos")
+
+
+@query(
+    """WITH n AS (SELECT conv_id, max(turn) AS top FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn AS pos FROM conversations JOIN n USING (conv_id) WHERE NOT (conv_id % 3 = 0 AND top >= 1)"""
+)
+def chain_swapped(spark, d):
+    chain = _chain(spark, d)
+    long_enough = chain.filter("pos = 1 AND conv_id % 3 = 0").select("conv_id", F.lit(True).alias("swap"))
+    place = F.when(F.col("swap") & (F.col("pos") < 2), 1 - F.col("pos")).otherwise(F.col("pos"))
+    return integrity.valid_prefix(chain.join(long_enough, "conv_id", "left").withColumn("pos", place).drop("swap"), "conv_id").select("conv_id", "pos")
+
+
+@query("SELECT conv_id, turn AS pos FROM conversations WHERE turn >= 1 AND NOT (conv_id % 3 = 0 AND turn >= 2)")
+def chain_recover(spark, d):
+    return integrity.recovered(_broken(spark, d), "conv_id", 1).select("conv_id", "pos")
+
+
 @query("SELECT conv_id, min(turn) AS first, max(turn) + 1 AS \"end\", count(*) AS n FROM conversations WHERE turn >= 1 GROUP BY conv_id")
 def chain_trim(spark, d):
     return integrity.block_range(integrity.trimmed(_chain(spark, d), 1), "conv_id")
 
 
-@query(
-    """WITH RECURSIVE c AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-f AS (SELECT conv_id, k, sha256(text) AS mac FROM c WHERE k = 1
-  UNION ALL SELECT c.conv_id, c.k, sha256(f.mac || c.text) FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1)
-SELECT conv_id, max(k) AS n, arg_max(mac, k) AS mac FROM f GROUP BY conv_id"""
-)
+@query(f"WITH {CHAIN} SELECT conv_id, max(k) AS n, arg_max(mac, k) AS mac FROM chain GROUP BY conv_id")
 def chain_fold(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.coalesce("text", F.lit("")).alias("payload"))
     return integrity.folded(rows, "conv_id")
