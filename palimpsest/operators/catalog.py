@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lsm import running
+
 
 # ------------------------------------------------------------------------- catalog
 def overlay(committed: DataFrame, created: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -53,13 +55,60 @@ def writer_conflicts(writers: DataFrame) -> DataFrame:
     return each.filter("n_writers > 1")
 
 
-def newest_edits(edits: DataFrame) -> DataFrame:
-    """(tx_id, log_id, kind): the last edit of a log in each transaction.
+def net_edits(edits: DataFrame) -> DataFrame:
+    """(tx_id, log_id, kind, source, bucket, root, legal): the one edit of a log that each transaction leaves.
+
+    ``edits(tx_id, log_id, ord, kind, source, bucket, root)`` in the order ``ord``.  A
+    log is created, appended to, moved or deleted; what was created or moved may be
+    deleted, what was created or appended to may be appended to, and nothing else
+    follows.  The last root counts.  ``legal`` is false where a step may not follow.
+    """
+    key = Window.partitionBy("tx_id", "log_id").orderBy("ord")
+    before, kind = F.lag("kind").over(key), F.col("kind")
+    born = F.first("kind").over(key) == "create"
+    step = (
+        F.when(before.isNull(), True)
+        .when(kind == "append", before.isin("create", "append"))
+        .when(kind == "delete", before.isin("create", "move") | ((before == "append") & born))
+        .otherwise(False)
+    )
+    last, first = F.max_by("kind", "ord"), F.min_by("kind", "ord")
+    each = edits.withColumn("step", step).groupBy("tx_id", "log_id")
+    return each.agg(
+        F.when(last == "delete", "delete").otherwise(first).alias("kind"),
+        F.max_by("source", "ord").alias("source"),
+        F.max_by("bucket", F.when(F.col("bucket").isNotNull(), F.col("ord"))).alias("bucket"),
+        F.max_by("root", F.when(F.col("root").isNotNull(), F.col("ord"))).alias("root"),
+        F.bool_and("step").alias("legal"),
+    )
+
+
+def apply_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
+    """(log_id, bucket, root) after the net edits of committed transactions, in the order of ``tx_id``.
+
+    ``state(log_id, bucket, root)``.  A log is there if its last creation is not
+    followed by a deletion; its bucket is that of the last creation or move, its
+    root that of the last creation or append.  One shuffle, no replay.
+    """
+    none = F.lit(None)
+    given = state.select("log_id", F.lit(-1).cast("long").alias("tx_id"), F.lit("create").alias("kind"), "bucket", "root")
+    every = given.unionByName(edits.select("log_id", F.col("tx_id").cast("long").alias("tx_id"), "kind", "bucket", "root"))
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("tx_id")).otherwise(none)
+    folded = every.groupBy("log_id").agg(
+        F.max_by("kind", at("create", "delete")).alias("life"), F.max_by("bucket", at("create", "move")).alias("bucket"), F.max_by("root", at("create", "append")).alias("root")
+    )
+    return folded.filter("life = 'create'").select("log_id", "bucket", "root")
+
+
+def apply_journal(edits: DataFrame) -> DataFrame:
+    """(store, key, state): three stores folded from one journal of committed edits.
 
-    Created and deleted in the same transaction comes to nothing.
+    ``edits(ord, store, key, x)``: chunks are taken (1) or given back (0), the last
+    one counts; raw logs grow by x blocks; logs of the catalog get the root x.
     """
-    each = edits.groupBy("tx_id", "log_id").agg(F.max_by("kind", "ord").alias("kind"), F.bool_or(F.col("kind") == "create").alias("born"))
-    return each.filter(~((F.col("kind") == "delete") & F.col("born"))).select("tx_id", "log_id", "kind")
+    last = F.max_by("x", "ord")
+    state = F.when(F.first("store") == "raw log", F.sum("x")).otherwise(last)
+    return edits.groupBy("store", "key").agg(state.alias("state"))
 
 
 # -------------------------------------------------------------------- transactions
@@ -147,5 +196,5 @@ def packed(records: DataFrame, size: Column, block: int, by: str) -> DataFrame:
 
 def compaction_due(appended: DataFrame, capacity: int) -> DataFrame:
     """(group_id, used, due): blocks appended so far and whether the journal is full."""
-    used = F.sum("n_blocks").over(Window.orderBy("group_id"))
-    return appended.select("group_id", used.alias("used"), (used >= capacity).alias("due"))
+    used = F.col("used")
+    return running(appended, "group_id", F.col("n_blocks"), "used").select("group_id", used, (used >= capacity).alias("due"))

@@ -75,17 +75,54 @@ def single_writer_conflicts(spark, d):
     return catalog.writer_conflicts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("log_id"), F.col("l_suppkey").alias("tx_id")))
 
 
-EDITS = "edits AS (SELECT event_id // 50 AS tx_id, user_id AS log_id, event_id AS ord, CASE event_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'append' ELSE 'delete' END AS kind FROM events)"
+EDITS = """edits AS (SELECT event_id // 50 AS tx_id, user_id AS log_id, event_id AS ord, ['create', 'append', 'append', 'delete', 'move'][1 + (event_id // 3) % 5] AS kind,
+  CASE (event_id // 3) % 5 WHEN 4 THEN 'old' END AS source,
+  CASE WHEN (event_id // 3) % 5 IN (0, 4) THEN event_type END AS bucket, CASE WHEN (event_id // 3) % 5 < 3 THEN event_id END AS root FROM events)"""
+#: The legal sequences of one log in one transaction, by the first letters of the steps.
+NET = """net AS (
+  SELECT tx_id, log_id, CASE WHEN steps LIKE '%d' THEN 'delete' ELSE born END AS kind, source, bucket, root, regexp_full_match(steps, 'ca*d?|a+|md?|d') AS legal
+  FROM (SELECT tx_id, log_id, string_agg(left(kind, 1), '' ORDER BY ord) AS steps, arg_min(kind, ord) AS born, arg_max(coalesce(source, ''), ord) AS s,
+    nullif(s, '') AS source, arg_max(bucket, ord) FILTER (WHERE bucket IS NOT NULL) AS bucket, arg_max(root, ord) FILTER (WHERE root IS NOT NULL) AS root FROM edits GROUP BY tx_id, log_id)
+)"""
+
+
+def _log_edits(spark, d):
+    e = table(spark, d, "events")
+    n = int_div(F.col("event_id"), 3) % 5
+    kinds = F.array(*map(F.lit, ("create", "append", "append", "delete", "move")))
+    return e.select(
+        int_div(F.col("event_id"), 50).alias("tx_id"),
+        F.col("user_id").alias("log_id"),
+        F.col("event_id").alias("ord"),
+        kinds[n.cast("int")].alias("kind"),
+        F.when(n == 4, "old").alias("source"),
+        F.when(n.isin(0, 4), F.col("event_type")).alias("bucket"),
+        F.when(n < 3, F.col("event_id")).alias("root"),
+    )
+
+
+@query(f"WITH {EDITS}, {NET} SELECT * FROM net")
+def catalog_edit_algebra(spark, d):
+    return catalog.net_edits(_log_edits(spark, d))
 
 
+# logs that were there: one for each customer; a transaction with an illegal step aborts as a whole
 @query(
-    f"""WITH {EDITS}, e AS (SELECT tx_id, log_id, arg_max(kind, ord) AS kind, bool_or(kind = 'create') AS born FROM edits GROUP BY tx_id, log_id)
-SELECT tx_id, log_id, kind FROM e WHERE NOT (kind = 'delete' AND born)"""
+    f"""WITH RECURSIVE {EDITS}, {NET}, good AS (SELECT * FROM net WHERE tx_id NOT IN (SELECT tx_id FROM net WHERE NOT legal) OR tx_id % 2 = 0),
+steps AS (SELECT log_id, kind, bucket, root, row_number() OVER (PARTITION BY log_id ORDER BY tx_id) AS k FROM good),
+f AS (SELECT CAST(c_custkey AS BIGINT) AS log_id, 0::BIGINT AS k, true AS alive, c_mktsegment AS bucket, 0::BIGINT AS root FROM customer
+  UNION SELECT log_id, 0, false, NULL, NULL FROM steps WHERE log_id NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT s.log_id, s.k, CASE s.kind WHEN 'create' THEN true WHEN 'delete' THEN false ELSE f.alive END,
+    CASE WHEN s.kind IN ('create', 'move') THEN s.bucket ELSE f.bucket END, CASE WHEN s.kind IN ('create', 'append') THEN s.root ELSE f.root END
+  FROM f JOIN steps s ON s.log_id = f.log_id AND s.k = f.k + 1)
+SELECT log_id, arg_max(coalesce(bucket, ''), k) AS bucket, max_by(root, k) AS root FROM f GROUP BY log_id HAVING arg_max(alive, k)"""
 )
-def catalog_edit_algebra(spark, d):
-    e = table(spark, d, "events")
-    kind = F.when(F.col("event_id") % 3 == 0, "create").when(F.col("event_id") % 3 == 1, "append").otherwise("delete")
-    return catalog.newest_edits(e.select(int_div(F.col("event_id"), 50).alias("tx_id"), F.col("user_id").alias("log_id"), F.col("event_id").alias("ord"), kind.alias("kind")))
+def catalog_apply_edits(spark, d):
+    net = catalog.net_edits(_log_edits(spark, d))
+    # every other transaction is replayed as it is, to have some with several edits
+    bad = net.filter("NOT legal AND tx_id % 2 <> 0").select("tx_id").distinct()
+    state = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("log_id"), F.col("c_mktsegment").alias("bucket"), F.lit(0).cast("long").alias("root"))
+    return catalog.apply_edits(state, net.join(bad, "tx_id", "left_anti"))
 
 
 # -------------------------------------------------------------------- transactions
@@ -137,6 +174,25 @@ def journal_recover_from_snapshot(spark, d):
     return catalog.recover_sum(catalog.fold_sum(edits.filter("ord < 700")), edits, 700)
 
 
+STORES = "['chunk', 'raw log', 'log root']"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id // 20 AS group_id, event_id AS ord, {STORES}[1 + event_id % 3] AS store, user_id AS key,
+  CASE event_id % 3 WHEN 0 THEN event_id // 3 % 2 WHEN 1 THEN event_id % 7 ELSE event_id END AS x FROM events), c AS (SELECT * FROM e WHERE group_id % 7 <> 3)
+SELECT store, key, last(x ORDER BY ord) AS state FROM c WHERE store <> 'raw log' GROUP BY store, key
+UNION ALL SELECT store, key, CAST(sum(x) AS BIGINT) FROM c WHERE store = 'raw log' GROUP BY store, key"""
+)
+def journal_three_stores(spark, d):
+    """One committed group changes chunks, raw logs and the catalog together."""
+    id_, n = F.col("event_id"), F.col("event_id") % 3
+    x = F.when(n == 0, int_div(id_, 3) % 2).when(n == 1, id_ % 7).otherwise(id_)
+    store = F.when(n == 0, "chunk").when(n == 1, "raw log").otherwise("log root")
+    edits = table(spark, d, "events").select(int_div(id_, 20).alias("group_id"), id_.alias("ord"), store.alias("store"), F.col("user_id").alias("key"), x.alias("x"))
+    commits = edits.filter("group_id % 7 <> 3").select("group_id").distinct()
+    return catalog.apply_journal(catalog.committed_edits(edits, commits))
+
+
 @query(f"WITH {JOURNAL}, {COMMITS} SELECT group_id, ord, key, x FROM edits SEMI JOIN commits USING (group_id)")
 def journal_atomic_groups(spark, d):
     return catalog.committed_edits(_edits(spark, d), _commits(spark, d)).select("group_id", "ord", "key", "x")
