@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import blocks, catalog, integrity, records, space, streams  # noqa: E402,F401  they register themselves
+from . import blocks, catalog, disk, integrity, records, space, streams  # noqa: E402,F401  they register themselves
