@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def int_div(x: Column, n: int) -> Column:
     """Whole division of non-negative longs."""
-    return F.floor(x / F.lit(n)).cast("long") if n != 1 else x.cast("long")
+    return F.call_function("div", x.cast("long"), F.lit(n).cast("long"))
 
 
 def align_down(x: Column, to: int) -> Column:

@@ -123,9 +123,9 @@ def runs(log: DataFrame) -> DataFrame:
     return log.groupBy("run", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"), F.max("epoch").alias("epoch"))
 
 
-def write_runs(run_rows: DataFrame, path: str, tasks: int) -> None:
+def write_runs(run_rows: DataFrame, path: str, tasks: int | None = None) -> None:
     """Runs as Parquet, clustered so that key statistics prune files and row groups."""
-    run_rows.repartitionByRange(tasks, "run", "key").sortWithinPartitions("run", "key").write.mode("overwrite").parquet(path)
+    run_rows.repartitionByRange(*([tasks] if tasks else []), "run", "key").sortWithinPartitions("run", "key").write.mode("overwrite").parquet(path)
 
 
 def key_ranges(run_rows: DataFrame) -> DataFrame:
@@ -139,20 +139,24 @@ def run_index(run_rows: DataFrame, block: int) -> DataFrame:
     return run_rows.withColumn("block", int_div(place, block)).groupBy("run", "block").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, width: int, below: bool = False) -> DataFrame:
     """Pairs (a_run, b_run) whose key ranges meet, by an equi-join on buckets of keys.
 
+    With ``below`` both have a level, and a run meets those of the next level only,
+    which is what a compaction asks; the level is part of the join's key.
+
     Each range visits the buckets of ``width`` keys that it covers; a pair is kept
     in the bucket where its common part begins, so it comes out once.
     """
 
     def spread(d: DataFrame, p: str) -> DataFrame:
+        level = F.col("level") + (1 if p == "a" else 0) if below else F.lit(0)
         return d.select(
-            F.col("run").alias(f"{p}_run"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"),
+            level.alias("at"), F.col("run").alias(f"{p}_run"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"),
             F.explode(F.sequence(int_div(F.col("lo"), width), int_div(F.col("hi"), width))).alias("cell"),
         )
 
-    met = spread(a, "a").join(spread(b, "b"), "cell").filter("a_lo <= b_hi AND b_lo <= a_hi")
+    met = spread(a, "a").join(spread(b, "b"), ["at", "cell"]).filter("a_lo <= b_hi AND b_lo <= a_hi")
     return met.filter(F.col("cell") == int_div(F.greatest("a_lo", "b_lo"), width)).select("a_run", "b_run")
 
 
@@ -166,13 +170,14 @@ def scan_run(run_rows: DataFrame, master: DataFrame, discard: bool = False) -> D
 
 
 # -------------------------------------------------------------------------- compaction
-def merge(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """(key, value, seq, dropped_value, dropped_seq): two runs merged, the upper one wins."""
-    u = upper.select("key", F.col("value").alias("uv"), F.col("seq").alias("us"))
-    v = lower.select("key", F.col("value").alias("lv"), F.col("seq").alias("ls"))
+def merge(upper: DataFrame, lower: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, value, seq, dropped_value, dropped_seq): runs merged two by two, the upper one wins."""
+    u = upper.select(*by, "key", F.col("value").alias("uv"), F.col("seq").alias("us"))
+    v = lower.select(*by, "key", F.col("value").alias("lv"), F.col("seq").alias("ls"))
     won = F.col("us").isNotNull()
     both = won & F.col("ls").isNotNull()
-    return u.join(v, "key", "full").select(
+    return u.join(v, [*by, "key"], "full").select(
+        *by,
         "key",
         F.when(won, F.col("uv")).otherwise(F.col("lv")).alias("value"),
         F.coalesce("us", "ls").alias("seq"),
@@ -197,23 +202,33 @@ def merge_rule(pairs: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, by: str, name: str = "place", parts: int = 64) -> DataFrame:
-    """Adds ``name``: the place of each row, from 0, in the order of a numeric column of distinct values.
+#: Rows that one task numbers.
+NUMBERED = 1_000_000
+
+
+def running(rows: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` up to and with each row, in the order of a numeric column of distinct values.
 
-    Quantiles, at most ``parts`` numbers, cut the rows into ranges; each range is
-    numbered alone and shifted by what the ranges before it hold, so no task sorts
-    all rows and the cuts are the same wherever they are used.
+    Quantiles, one for every ``NUMBERED`` rows, cut the rows into ranges; each range is
+    summed alone and shifted by what the ranges before it hold, so no task sorts all
+    rows and the cuts are the same wherever they are used.
     """
+    parts = min(100_000, -(-rows.count() // NUMBERED))
     shares = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(by, shares, 10_000).alias("cuts")).first()["cuts"] or []))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(by))) if cuts else F.lit(0)
-    dealt = rows.withColumn("part", part)
+    cuts = sorted(set(rows.agg(F.percentile_approx(by, shares, max(10_000, 2 * parts)).alias("cuts")).first()["cuts"] or [])) if shares else []
+    part = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    dealt = rows.withColumn("part", part).withColumn("own", value.cast("long"))
     shift = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", shift.alias("shift"))  # one row a range
-    own = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    sizes = dealt.groupBy("part").agg(F.sum("own").alias("n")).select("part", shift.alias("shift"))  # one row a range
+    own = F.sum("own").over(Window.partitionBy("part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
     return dealt.withColumn("own", own).join(F.broadcast(sizes), "part").withColumn(name, F.col("own") + F.col("shift")).drop("part", "own", "shift")
 
 
+def numbered(rows: DataFrame, by: str, name: str = "place") -> DataFrame:
+    """Adds ``name``: the place of each row, from 0, in the order of a numeric column of distinct values."""
+    return running(rows, by, F.lit(1), name).withColumn(name, F.col(name) - 1)
+
+
 def output_chunks(merged: DataFrame, capacity: int) -> DataFrame:
     """(chunk, lo, hi, n): merged records cut into runs of ``capacity`` records."""
     chunk = numbered(merged.select("key"), "key").select("key", int_div(F.col("place"), capacity).alias("chunk"))
@@ -222,13 +237,15 @@ def output_chunks(merged: DataFrame, capacity: int) -> DataFrame:
 
 def leveled(ranges: DataFrame, l0: int = 4, growth: int = 10, deepest: int = 5) -> DataFrame:
     """Runs with a ``level``: the newest ``l0`` in level 0, then 10, 100, ... older ones."""
-    age = F.row_number().over(Window.orderBy(F.desc("run"))) - 1
     level, at = F.lit(deepest), [l0]
     for i in range(1, deepest):
         at.append(at[-1] + growth**i)
     for i in range(deepest - 1, -1, -1):
         level = F.when(F.col("age") < at[i], i).otherwise(level)
-    return ranges.withColumn("age", age).withColumn("level", level.cast("int")).drop("age")
+    # all but a fixed number of runs are in the deepest level
+    newest = ranges.select("run").orderBy(F.desc("run")).limit(at[-1])
+    placed = newest.withColumn("age", F.row_number().over(Window.orderBy(F.desc("run"))) - 1)
+    return ranges.join(placed, "run", "left").withColumn("level", level.cast("int")).drop("age")
 
 
 def level_threshold(level, l0: int = 4, growth: int = 10):
@@ -253,13 +270,8 @@ def compaction_inputs(levels: DataFrame, level: int, width: int) -> DataFrame:
 
 def trivial_moves(levels: DataFrame, width: int) -> DataFrame:
     """(run, level): runs that no run of the next level overlaps, so they can move as they are."""
-    pairs = None
-    for i in range(5):
-        here = levels.filter(F.col("level") == i).select("run", "lo", "hi")
-        below = levels.filter(F.col("level") == i + 1).select("run", "lo", "hi")
-        met = overlaps(here, below, width).select(F.col("a_run").alias("run")).distinct()
-        pairs = met if pairs is None else pairs.union(met)
-    return levels.filter(F.col("level") < 5).join(pairs, "run", "left_anti").select("run", "level")
+    met = overlaps(levels, levels, width, below=True).select(F.col("a_run").alias("run"))
+    return levels.filter(F.col("level") < 5).join(met, "run", "left_anti").select("run", "level")
 
 
 def swap_runs(levels: DataFrame, created: DataFrame, deleted: DataFrame) -> DataFrame:

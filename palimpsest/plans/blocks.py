@@ -11,47 +11,61 @@ from .registry import query
 
 
 def _bytes(spark, d):
-    """(pos, data): the pages' addresses as blocks of 16 bytes."""
-    url = F.rpad(F.substring("url", 1, 16), 16, "~")
-    return table(spark, d, "pages").select(F.col("page_id").alias("pos"), url.cast("binary").alias("data"))
+    """(pos, data): each page, address and html, as one block."""
+    page = F.concat(F.col("url"), F.lit("\n"), F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").select(F.col("page_id").alias("pos"), page.cast("binary").alias("data"))
 
 
-PAGES = "b AS (SELECT page_id AS pos, rpad(substr(url, 1, 16), 16, '~') AS data FROM pages)"
+PAGES = "b AS (SELECT page_id AS pos, url || chr(10) || coalesce(html, '') AS data FROM pages)"
+
+
+def _hashed(spark, d):
+    """(pos, data): the digest of each whole page as a block of 32 bytes."""
+    return _bytes(spark, d).select("pos", F.unhex(F.sha2("data", 256)).alias("data"))
+
+
+HASHED = f"{PAGES}, h AS (SELECT pos, sha256(data) AS hex FROM b)"
+
+
+def _text(df):
+    return df.withColumn("data", F.col("data").cast("string"))
 
 
 @query(f"WITH {PAGES} SELECT pos, data FROM b WHERE pos BETWEEN 3 AND 7")
 def io_read_blocks(spark, d):
-    return blocks.read_blocks(_bytes(spark, d), 3, 5).withColumn("data", F.col("data").cast("string"))
+    return _text(blocks.read_blocks(_bytes(spark, d), 3, 5))
 
 
-@query(f"WITH {PAGES} SELECT substr(string_agg(data, '' ORDER BY pos), 6, 50) AS data FROM b WHERE pos BETWEEN 2 AND 5")
+@query(f"WITH {HASHED} SELECT substr(string_agg(hex, '' ORDER BY pos), 11, 200) AS data FROM h WHERE pos BETWEEN 2 AND 5")
 def io_unaligned_slice(spark, d):
-    return blocks.read_slice(_bytes(spark, d), 37, 50, 16).select(F.col("data").cast("string").alias("data"))
+    """100 bytes from the fifth byte of block 2 on."""
+    return blocks.read_slice(_hashed(spark, d), 69, 100, 32).select(F.lower(F.hex("data")).alias("data"))
 
 
 @query(
-    f"""WITH {PAGES}, w AS (SELECT *, greatest(pos * 16, 37) AS s, least(pos * 16 + 16, 57) AS e FROM b)
-SELECT pos, CASE WHEN e > s THEN substr(data, 1, s - pos * 16) || substr('ABCDEFGHIJKLMNOPQRST', s - 36, e - s) || substr(data, e - pos * 16 + 1) ELSE data END AS data FROM w"""
+    f"""WITH {HASHED}, w AS (SELECT *, greatest(pos * 32, 37) AS s, least(pos * 32 + 32, 77) AS e FROM h)
+SELECT pos, CASE WHEN e > s THEN substr(hex, 1, 2 * (s - pos * 32)) || repeat('5a', CAST(e - s AS INTEGER)) || substr(hex, 2 * (e - pos * 32) + 1) ELSE hex END AS data FROM w"""
 )
 def io_write_slice(spark, d):
-    return blocks.write_slice(_bytes(spark, d), 37, b"ABCDEFGHIJKLMNOPQRST", 16).withColumn("data", F.col("data").cast("string"))
+    """40 bytes from byte 37 on: the ends of the blocks concerned stay."""
+    return blocks.write_slice(_hashed(spark, d), 37, b"Z" * 40, 32).select("pos", F.lower(F.hex("data")).alias("data"))
 
 
-@query(f"WITH {PAGES} SELECT pos, CASE pos WHEN 4 THEN 'new block four..' ELSE data END AS data FROM b")
+@query(f"WITH {PAGES} SELECT pos, CASE pos WHEN 4 THEN 'new block four' ELSE data END AS data FROM b")
 def io_write_blocks(spark, d):
-    new = spark.createDataFrame([(4, b"new block four..")], "pos bigint, data binary")
-    return blocks.write_blocks(_bytes(spark, d), new).withColumn("data", F.col("data").cast("string"))
+    new = spark.createDataFrame([(4, b"new block four")], "pos bigint, data binary")
+    return _text(blocks.write_blocks(_bytes(spark, d), new))
 
 
 @query(f"WITH {PAGES} SELECT pos - 10 AS pos, data FROM b WHERE pos >= 10 AND pos < 20")
 def io_subset(spark, d):
-    return blocks.subset(_bytes(spark, d), 10, 20).withColumn("data", F.col("data").cast("string"))
+    return _text(blocks.subset(_bytes(spark, d), 10, 20))
 
 
 @query(f"WITH {PAGES} SELECT pos, data FROM b UNION ALL SELECT (SELECT max(pos) FROM b) + 1, 'first' UNION ALL SELECT (SELECT max(pos) FROM b) + 2, 'second'")
 def io_append(spark, d):
     new = spark.createDataFrame([(0, b"first"), (1, b"second")], "ord bigint, data binary")
-    return blocks.append(_bytes(spark, d), new).withColumn("data", F.col("data").cast("string"))
+    return _text(blocks.append(_bytes(spark, d), new))
 
 
 @query("SELECT event_id % 64 AS slot, max(event_id) AS pos, arg_max(value, event_id) AS data FROM events GROUP BY event_id % 64")
@@ -123,9 +137,11 @@ def io_state_anomalies(spark, d):
     return blocks.state_anomalies(e.select(F.col("user_id").alias("req"), F.col("event_id").alias("seq"), state.alias("state")))
 
 
-@query("SELECT event_id AS seq, user_id AS req FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 10")
+@query("SELECT event_id AS seq, user_id AS req, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_type = 'click'")
 def io_queue_order(spark, d):
-    return table(spark, d, "events").filter("event_type = 'click'").orderBy("event_id").limit(10).select(F.col("event_id").alias("seq"), F.col("user_id").alias("req"))
+    """Requests first in, first out: the place of each of them in the queue."""
+    queued = table(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("seq"), F.col("user_id").alias("req"))
+    return lsm.numbered(queued, "seq")
 
 
 @query("SELECT flush, CAST(sum(n) AS BIGINT) AS n_writes, count(*) AS n_blocks FROM (SELECT event_id // 128 AS flush, user_id, count(*) AS n FROM events GROUP BY event_id // 128, user_id) GROUP BY flush")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.bits import int_div
 from ..operators import lsm
+from ..sources.scratch import scratch_root
 from ..sources.tables import RUN_WRITES, SYNC_EVERY, order_log, write_log
 from .registry import query
 
@@ -184,15 +188,16 @@ def run_key_ranges(spark, d):
 
 @query(f"WITH {RUNS} SELECT r.run, key, value, seq FROM runs r JOIN ranges g ON r.run = g.run WHERE lo <= 5 AND hi >= 5 AND key = 5")
 def run_point_pruned(spark, d):
-    runs = _runs(spark, d)
-    near = lsm.key_ranges(runs).filter((F.col("lo") <= 5) & (F.col("hi") >= 5)).select("run")
-    return runs.filter(F.col("key") == 5).join(near, "run", "left_semi").select("run", "key", "value", "seq")
-
+    """Runs as files: the footers of all but those that may hold the key are all that is read of them."""
+    path = f"{scratch_root(spark)}/runs-{uuid.uuid4().hex}"
+    lsm.write_runs(_runs(spark, d), path)
+    return spark.read.parquet(path).filter(F.col("key") == 5).select(F.col("run").cast("long").alias("run"), "key", "value", "seq")
 
-@query(f"WITH {RUNS} SELECT a.run AS a_run, b.run AS b_run FROM ranges a, ranges b WHERE a.run < b.run AND a.lo <= b.hi AND b.lo <= a.hi")
+@query(f"WITH {LEVELS} SELECT a.run AS a_run, b.run AS b_run FROM levels a JOIN levels b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi")
 def run_overlap_pairs(spark, d):
-    ranges = lsm.key_ranges(_runs(spark, d))
-    return lsm.overlaps(ranges, ranges, CELL).filter("a_run < b_run")
+    """Each run with those of the next level that a compaction would have to merge with it."""
+    levels = _levels(spark, d)
+    return lsm.overlaps(levels, levels, CELL, below=True)
 
 
 SCAN = f"WITH {RUNS} SELECT run, key, value, epoch < upto // {SYNC_EVERY} AS is_synced FROM runs, mark"
@@ -214,17 +219,18 @@ def migration_drop_unsynced(spark, d):
 
 
 # ----------------------------------------------------------------------- compaction
-MERGE = f"""{RUNS}, u AS (SELECT * FROM runs WHERE run = 5), l AS (SELECT * FROM runs WHERE run = 2), merged AS (
-  SELECT coalesce(u.key, l.key) AS key, CASE WHEN u.seq IS NOT NULL THEN u.value ELSE l.value END AS value, coalesce(u.seq, l.seq) AS seq,
+MERGE = f"""{RUNS}, u AS (SELECT *, run // 2 AS pair FROM runs WHERE run % 2 = 1), l AS (SELECT *, run // 2 AS pair FROM runs WHERE run % 2 = 0), merged AS (
+  SELECT coalesce(u.pair, l.pair) AS pair, coalesce(u.key, l.key) AS key, CASE WHEN u.seq IS NOT NULL THEN u.value ELSE l.value END AS value, coalesce(u.seq, l.seq) AS seq,
     CASE WHEN u.seq IS NOT NULL AND l.seq IS NOT NULL THEN l.value END AS dropped_value,
     CASE WHEN u.seq IS NOT NULL AND l.seq IS NOT NULL THEN l.seq END AS dropped_seq
-  FROM u FULL JOIN l ON u.key = l.key
+  FROM u FULL JOIN l ON u.pair = l.pair AND u.key = l.key
 )"""
 
 
 def _merged(spark, d):
-    runs = _runs(spark, d)
-    return lsm.merge(runs.filter("run = 5"), runs.filter("run = 2"))
+    """Every run of odd number with the one before it."""
+    runs = _runs(spark, d).withColumn("pair", int_div(F.col("run"), 2))
+    return lsm.merge(runs.filter("run % 2 = 1"), runs.filter("run % 2 = 0"), ("pair",))
 
 
 @query(f"WITH {MERGE} SELECT * FROM merged")
@@ -232,9 +238,9 @@ def merge_two_runs(spark, d):
     return _merged(spark, d)
 
 
-@query(f"WITH {MERGE} SELECT key, dropped_value AS value, dropped_seq AS seq FROM merged WHERE dropped_seq IS NOT NULL")
+@query(f"WITH {MERGE} SELECT pair, key, dropped_value AS value, dropped_seq AS seq FROM merged WHERE dropped_seq IS NOT NULL")
 def merge_drop_events(spark, d):
-    return _merged(spark, d).filter("dropped_seq is not null").select("key", F.col("dropped_value").alias("value"), F.col("dropped_seq").alias("seq"))
+    return _merged(spark, d).filter("dropped_seq is not null").select("pair", "key", F.col("dropped_value").alias("value"), F.col("dropped_seq").alias("seq"))
 
 
 @query(

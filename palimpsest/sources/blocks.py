@@ -16,12 +16,25 @@ def zeroed(spark: SparkSession, n: int, size: int = BLOCK) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("pos"), F.unhex(F.repeat(F.lit("00"), size)).alias("data"))
 
 
-def read_blocks(blocks: DataFrame, pos: int, n: int) -> DataFrame:
+class OutOfRange(ValueError):
+    """A request reaches beyond the blocks there are."""
+
+
+def read_blocks(blocks: DataFrame, pos: int, n: int, capacity: int | None = None) -> DataFrame:
+    """Blocks pos .. pos + n - 1; with a ``capacity`` they must lie below it."""
+    if pos < 0 or n < 0 or capacity is not None and pos + n > capacity:
+        raise OutOfRange(f"blocks {pos} .. {pos + n - 1} of {capacity}")
     return blocks.filter(F.col("pos").between(pos, pos + n - 1))
 
 
-def write_blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """The set with the blocks of ``new(pos, data)`` in place of its own."""
+def write_blocks(blocks: DataFrame, new: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The set with the blocks of ``new(pos, data)`` in place of its own.
+
+    With a ``capacity`` a block beyond it fails the job that computes the set.
+    """
+    if capacity is not None:
+        inside = (F.col("pos") >= 0) & (F.col("pos") < capacity)
+        new = new.withColumn("pos", F.when(inside, F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("write out of range: block "), F.col("pos").cast("string"))).cast("long")))
     n = new.select("pos", F.col("data").alias("new"))
     return blocks.join(n, "pos", "left").select("pos", F.coalesce("new", "data").alias("data"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import bits
 from palimpsest.operators import catalog, integrity, lsm, space
+from palimpsest.operators.disk import Device
 from palimpsest.sources import blocks
 
 
@@ -174,6 +176,127 @@ def test_chain_breaks(spark):
     assert {r["pos"] for r in integrity.valid_prefix(worn, "c").collect()} == {0, 1, 2}
 
 
+def test_chain_follows_the_checksums(spark):
+    """Each checksum covers the one before; removing, swapping or splicing a block cuts the chain there."""
+    rows = spark.createDataFrame([(c, i, f"block {c} {i}") for c in (1, 2) for i in range(5)], "c bigint, pos bigint, payload string")
+    chain = integrity.chained(rows, "c")
+    last, want = None, []
+    for i in range(5):
+        before = last
+        last = hashlib.sha256(((last or "") + hashlib.sha256(f"block 1 {i}".encode()).hexdigest()).encode()).hexdigest()
+        want.append((before, last))
+    assert [(r["pre_mac"], r["mac"]) for r in chain.filter("c = 1").orderBy("pos").collect()] == want
+    kept = lambda t, first=0: {(r["c"], r["pos"]) for r in integrity.valid_prefix(t, "c", first).collect()}
+    two = {(2, i) for i in range(5)}
+    assert kept(chain.filter("NOT (c = 1 AND pos = 2)")) == two | {(1, 0), (1, 1)}
+    swapped = chain.withColumn("pos", F.when((F.col("c") == 1) & F.col("pos").isin(2, 3), 5 - F.col("pos")).otherwise(F.col("pos")))
+    assert kept(swapped) == two | {(1, 0), (1, 1)}
+    other = chain.filter("c = 2 AND pos = 2").withColumn("c", F.lit(1).cast("long"))
+    assert kept(chain.filter("NOT (c = 1 AND pos = 2)").union(other.select(chain.columns))) == two | {(1, 0), (1, 1)}
+    forged = chain.withColumn("mac", F.when((F.col("c") == 1) & (F.col("pos") == 2), integrity.link(F.lit("0"), F.col("payload"))).otherwise(F.col("mac")))
+    assert kept(forged) == two | {(1, 0), (1, 1)}
+    # a trimmed chain is read from its first block on, and from no other
+    assert {(r["c"], r["pos"]) for r in integrity.recovered(chain, "c", 2).collect()} == {(c, i) for c in (1, 2) for i in (2, 3, 4)}
+    assert kept(chain.filter("pos >= 3"), 2) == set()
+
+
+def test_descent_looks_only_below_what_differs(spark):
+    a = [(i, f"p{i}") for i in range(30)]
+    b = [(i, "new" if i in (4, 29) else x) for i, x in a]
+    trees = [integrity.tree(spark.createDataFrame(x, "pos bigint, payload string"), 30, 3) for x in (a, b)]
+    found = {tuple(r) for r in integrity.descent(*trees, 3).collect()}
+    assert found == {(0, 4), (0, 29), (1, 1), (1, 9), (2, 0), (2, 3), (3, 0), (3, 1), (4, 0)}
+
+
+def test_levels_above(spark):
+    n = [1, 102, 103, 102**2, 102**4, 102**4 + 1, 102**9]
+    rows = spark.createDataFrame([(x,) for x in n if x < 1 << 63], "n bigint")
+    assert {r["n"]: r["h"] for r in rows.select("n", integrity.levels_above(F.col("n")).alias("h")).collect()} == {x: integrity.height(x) for x in n if x < 1 << 63}
+
+
+EDITS = "tx_id bigint, log_id bigint, ord bigint, kind string, source string, bucket string, root bigint"
+
+
+def test_edits_of_a_catalog(spark):
+    """The edits of each transaction against a state machine, and their application against a replay."""
+    rng = random.Random(5)
+    rows, ord_ = [], 0
+    for tx in range(60):
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.choice(["create", "append", "delete", "move"])
+            rows.append((tx, rng.randrange(4), ord_, kind, "s" if kind == "move" else None, f"b{ord_}" if kind in ("create", "move") else None, ord_ if kind in ("create", "append") else None))
+            ord_ += 1
+    want: dict = {}
+    for tx, log, _, kind, source, bucket, root in rows:
+        have = want.get((tx, log))
+        if have is None:
+            want[tx, log] = [kind, source, bucket, root, True]
+        elif kind == "append" and have[0] in ("create", "append"):
+            have[3] = root
+        elif kind == "delete" and have[0] in ("create", "move"):
+            have[0] = "delete"
+        else:
+            have[4] = False
+    net = catalog.net_edits(spark.createDataFrame(rows, EDITS))
+    got = {(r["tx_id"], r["log_id"]): [r["kind"], r["source"], r["bucket"], r["root"], r["legal"]] for r in net.collect()}
+    assert {k for k, v in want.items() if v[4]} == {k for k, v in got.items() if v[4]} and got.keys() == want.keys()
+    legal = {k: v for k, v in want.items() if v[4]}
+    assert all((got[k][0], got[k][2], got[k][3]) == (v[0], v[2], v[3]) for k, v in legal.items())
+    state = {1: ("old", 0), 9: ("old", 0)}
+    for (_, log), (kind, _, bucket, root, _) in sorted(legal.items()):
+        if kind == "create":
+            state[log] = (bucket, root)
+        elif kind == "delete":
+            state.pop(log, None)
+        elif log in state:
+            state[log] = (state[log][0], root) if kind == "append" else (bucket, state[log][1])
+    given = spark.createDataFrame([(1, "old", 0), (9, "old", 0)], "log_id bigint, bucket string, root bigint")
+    assert {r["log_id"]: (r["bucket"], r["root"]) for r in catalog.apply_edits(given, net.filter("legal")).collect()} == state
+
+
+def test_bounds(spark):
+    b = blocks.zeroed(spark, 4, 16)
+    assert blocks.read_blocks(b, 1, 3, 4).count() == 3
+    with pytest.raises(blocks.OutOfRange):
+        blocks.read_blocks(b, 2, 3, 4)
+    with pytest.raises(Exception, match="out of range"):
+        blocks.write_blocks(b, spark.createDataFrame([(4, b"x")], "pos bigint, data binary"), 4).collect()
+
+
+def test_device(spark, tmp_path):
+    """Writes behind the last sync are gone after a crash; damage shows; hooks may refuse a step."""
+    folder, seen = f"file://{tmp_path}/device", []
+    rows = lambda **kv: spark.createDataFrame([(int(k[1:]), v) for k, v in kv.items()], "lba bigint, payload string")
+    read = lambda dev: {r["lba"]: r["payload"] for r in dev.read(rows(b0="", b1="", b2="")).collect()}
+    dev = Device.create(spark, folder, 64, "k", before=lambda *e: seen.append(("before", *e)), after=lambda *e: seen.append(("after", *e)))
+    assert dev.capacity() == 60 and read(dev) == {0: None, 1: None, 2: None}
+    dev.write(rows(b0="a", b1="b"))
+    dev.write(rows(b1="c"))
+    assert dev.sync() == 2 and read(dev) == {0: "a", 1: "c", 2: None}
+    dev.write(rows(b0="lost", b2="lost"))
+    assert read(dev)[2] == "lost"
+    dev = Device.open(spark, folder, "k")
+    assert read(dev) == {0: "a", 1: "c", 2: None} and dev.next == 2
+    dev.write(rows(b2="d"))
+    dev.sync()
+    assert read(Device.open(spark, folder, "k")) == {0: "a", 1: "c", 2: "d"}
+    wrong = Device.open(spark, folder, "other").read(rows(b0="", b5="")).collect()
+    assert {(r["lba"], r["intact"]) for r in wrong} == {(0, False), (5, True)}
+    for bad in (dev.write, dev.read):
+        with pytest.raises(blocks.OutOfRange):
+            bad(rows(b60="x"))
+    assert seen[:2] == [("before", "write", 0), ("after", "write", 0)] and seen[-3:-1] == [("after", "sync", 2), ("before", "write", 2)]
+    with pytest.raises(Exception, match="EXISTS|exists"):
+        Device.create(spark, folder, 64, "k")
+
+    def refuse(event, _):
+        raise RuntimeError(event)
+
+    with pytest.raises(RuntimeError):
+        Device.open(spark, folder, "k", before=refuse).write(rows(b0="never"))
+    assert read(Device.open(spark, folder, "k"))[0] == "a"
+
+
 @pytest.mark.parametrize("commits", [1, 10, 11])
 def test_journal_golden(spark, commits):
     edits = spark.range(1000 * commits).select(F.lit("s").alias("key"), F.col("id").alias("ord"), (F.col("id") % 1000).alias("x"))
