@@ -33,6 +33,8 @@ from itertools import chain
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text whose words are sorted into one trie.
+TOGETHER = 6_000_000
 #: Longer words are encoded, but not remembered.
 LONG = 64
 #: Words with the spaces before them, and spaces that nothing follows.
@@ -91,14 +93,16 @@ class Encoder:
     characters are not remembered, so the memory is bounded in bytes.
     """
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 250_000, pair_room: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, room: int = 400_000, pair_room: int = 1_000_000):
         self.v, self.room, self.pair_room = vocabulary, room, pair_room
         # what was seen lately, and before that; a word that comes back moves up
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.long: list[str] = []
         self.joints = " \n" if vocabulary.lines else " "
-        self.pairs: dict = {}
+        #: by a piece, which pieces before it may stay there, and how many answers are held
+        self.pairs: list[dict[int, bool]] = [{} for _ in vocabulary.text]
+        self.n_pairs = 0
         self.texts = [self._bytes_of(i) for i in range(len(vocabulary.text))]
         # pieces that merging would not leave as they are can end no segmentation
         self.usable = vocabulary.ids
@@ -115,11 +119,14 @@ class Encoder:
     # ---------------------------------------------------------------- the search
     def _fits(self, a: str, i, b: str, j) -> bool:
         """Would merging the characters of both pieces leave these two?"""
-        if len(self.pairs) > self.pair_room:
-            self.pairs.clear()
         ok = self.v.merged(a + b) == [a, b]
         if i is not None and j is not None:
-            self.pairs[i << 24 | j] = ok
+            if self.n_pairs > self.pair_room:
+                for held in self.pairs:
+                    held.clear()
+                self.n_pairs = 0
+            self.pairs[j][i] = ok
+            self.n_pairs += 1
         return ok
 
     def _sizes(self, tail: str) -> tuple[int, ...]:
@@ -137,30 +144,31 @@ class Encoder:
         A cell is where the last piece of the segmentation that ends there starts, and
         the id of that piece (none for a character that the vocabulary lacks).
         """
-        usable, lengths, pairs = self.usable.get, self.lengths.get, self.pairs.get
+        usable, lengths, pairs = self.usable.get, self.lengths.get, self.pairs
+        begin, name = starts.append, last.append
         for end in range(len(starts), len(unit) + 1):
             tail = unit[end - 3 : end] if end > 2 else unit[:end]
             sizes = lengths(tail)
             for n in self._sizes(tail) if sizes is None else sizes:
                 at = end - n
-                if at < 0:
-                    continue
-                i = usable(unit[at:end])
-                if i is None:
-                    continue
-                if at:
+                if at > 0:
+                    i = usable(unit[at:end])
+                    if i is None:
+                        continue
                     j = last[at]
-                    ok = None if j is None else pairs(j << 24 | i)
+                    ok = None if j is None else pairs[i].get(j)
                     if ok is None:
                         ok = self._fits(unit[starts[at] : at], j, unit[at:end], i)
                     if not ok:
                         continue
-                starts.append(at)
-                last.append(i)
+                elif at or (i := usable(unit[:end])) is None:
+                    continue
+                begin(at)
+                name(i)
                 break
             else:
-                starts.append(end - 1)
-                last.append(usable(unit[end - 1]))
+                begin(end - 1)
+                name(usable(unit[end - 1]))
 
     def _extend_scoring(self, unit: str, starts: list, last: list, scores: list) -> None:
         """As above, by the largest sum of scores; longer last pieces win ties."""
@@ -300,7 +308,7 @@ def tokenize(docs, model: bytes, text_col: str = "text"):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    from .shared import encoded, portions, small_batches, tidy
+    from .shared import encoded, gathered, portions, small_batches, tidy
 
     small_batches(docs.sparkSession)
 
@@ -309,9 +317,9 @@ def tokenize(docs, model: bytes, text_col: str = "text"):
 
     def run(batches):
         e = encoder(shared.value)
-        for b in batches:
+        for b in gathered(batches, TOGETHER):
             raw = encoded(b.column(0).field(text_col))
-            for lo, hi in portions(raw):
+            for lo, hi in portions(raw, TOGETHER):
                 texts = [x.decode() for x in raw[lo:hi]]
                 ids = e.encode(texts)
                 yield pa.RecordBatch.from_arrays(

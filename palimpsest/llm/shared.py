@@ -193,6 +193,21 @@ class Words:
         return span_hashes(self.buffer, self.starts, self.ends, powers)
 
 
+def gathered(batches, limit: int):
+    """Arrow batches put together until they hold ``limit`` bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def portions(texts: list[bytes], limit: int = 1_000_000):
     """Slices of the list holding about ``limit`` bytes each, so arrays stay small."""
     at, size = 0, 0
