@@ -49,6 +49,15 @@ def tree(blocks: DataFrame, n: int, fan_out: int = FAN_OUT) -> list[DataFrame]:
     return levels
 
 
+def dumped(levels: list[DataFrame]) -> DataFrame:
+    """(level, pos, hash): all nodes of a tree as one table."""
+    each = [t.select(F.lit(k).alias("level"), "pos", "hash") for k, t in enumerate(levels)]
+    out = each[0]
+    for t in each[1:]:
+        out = out.union(t)
+    return out
+
+
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pos): nodes whose hash differs or that only one side has."""
     x = a.select("pos", F.col("hash").alias("ha")).join(b.select("pos", F.col("hash").alias("hb")), "pos", "full")

@@ -34,6 +34,13 @@ def merkle_root(spark, d):
     return integrity.tree(leaf_blocks(spark, d), _n(spark, d))[-1].select("hash", "n")
 
 
+@query(f"WITH {L0}, {_level(1)}, {_level(2)} SELECT 0 AS level, pos, hash FROM l0 UNION ALL SELECT 1, pos, hash FROM l1 UNION ALL SELECT 2, pos, hash FROM l2")
+def merkle_dump(spark, d):
+    base = integrity.leaves(leaf_blocks(spark, d))
+    one = integrity.next_level(base).select("pos", "hash")
+    return integrity.dumped([base, one, integrity.next_level(one).select("pos", "hash")])
+
+
 @query(
     """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
 h AS (SELECT 1 AS height, 102::HUGEINT AS reach UNION ALL SELECT height + 1, reach * 102 FROM h, n WHERE reach < n)

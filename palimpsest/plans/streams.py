@@ -19,10 +19,14 @@ def scratch(spark) -> str:
 
 @query("SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
 def stream_ingest_latest(spark, d):
-    """The events as a stream, flushed run by run and read back newest-wins."""
+    """The events as a stream, flushed run by run and read back newest-wins.
+
+    A batch takes a bounded number of files, so writers ahead of the ingest wait in
+    the folder; the query ends when all that was there is written.
+    """
     at = scratch(spark)
     shape = spark.read.parquet(f"{d}/events.parquet").schema
-    writes = spark.readStream.schema(shape).parquet(f"{d}/events*.parquet")
+    writes = spark.readStream.schema(shape).option("maxFilesPerTrigger", 8).parquet(f"{d}/events*.parquet")
     rows = writes.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value")
     newest.ingest_runs(rows, f"{at}/runs", f"{at}/checkpoint").awaitTermination()
     return lsm.latest(spark.read.parquet(f"{at}/runs").select("key", "seq", "value"))
