@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoded, small_batches, tidy
+from .shared import encoded, small_batches, tidy, trim
 
 BITS = 22
 #: Lengths, in bytes, of the prefixes of words.
@@ -135,16 +135,23 @@ def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, strict:
     and copies make them less so.
     """
     own = np.bincount(grades, minlength=n_grades).astype(np.float64)
-    seen = np.zeros((n_grades, 4 << BITS), dtype=np.uint16 if len(rows) < 1 << 16 else np.uint32)
-    for r, g in zip(rows, grades):
-        seen[g, r] += 1  # the features of a row are distinct
-    total = seen.sum(axis=0, dtype=np.int32)
+
+    def counted(k: int | None) -> np.ndarray:
+        """How many rows of grade k, or of all grades, have each feature; one such array is held at a time."""
+        seen = np.zeros(4 << BITS, dtype=np.uint16 if len(rows) < 1 << 16 else np.uint32)
+        for r, g in zip(rows, grades):
+            if k is None or g == k:
+                seen[r] += 1  # the features of a row are distinct
+        return seen
+
+    total = counted(None)
     some = np.flatnonzero((total >= least) & (total <= len(rows) - least))
     t, n, chi = total[some].astype(np.float64), float(len(rows)), np.zeros(len(some))
+    del total
     for k in range(n_grades):
         if own[k]:
             expected = own[k] * t / n
-            gap = (seen[k][some] - expected) ** 2
+            gap = (counted(k)[some] - expected) ** 2
             chi += gap / expected + gap / np.maximum(own[k] - expected, 1e-9)
     return some[chi > strict * np.log(len(some) + 1)]
 
@@ -182,9 +189,8 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds
     if not len(rows):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(n_grades - 1, -10.0))
     used = screened(rows, grades, n_grades)
-    at = np.full(4 << BITS, -1, dtype=np.int32)
-    at[used] = np.arange(len(used))
-    kept = [at[r][at[r] >= 0] for r in rows]
+    # the features of a row are sorted, and so are those in use
+    kept = [np.flatnonzero(np.isin(used, r, assume_unique=True)) for r in rows]
     where = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
     column = np.concatenate(kept).astype(np.int64)
     w, first, gaps = np.zeros(len(used)), -1.0, np.zeros(n_grades - 2)
@@ -229,7 +235,10 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id
     lists = table.column("features").combine_chunks()
     values, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() if len(lists) else np.zeros(1, dtype=np.int64)
     features = [values[at[k] - at[0] : at[k + 1] - at[0]] for k in order]
-    return fit_arrays(features, grade_of[order], n_grades, **how)
+    model = fit_arrays(features, grade_of[order], n_grades, **how)
+    del table, featured, lists, values, at, features
+    trim()
+    return model
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -77,6 +77,7 @@ def sweep(spark: SparkSession) -> None:
     """Delete the scratch tables that no plan refers to."""
     if Scratch.watched:
         gc.collect()  # plans that Python holds no more
+        trim()
         spark._jvm.System.gc()
         for path in [path for path, index in Scratch.watched.items() if index.get() is None]:
             _delete(spark, path)
