@@ -41,6 +41,8 @@ from .shared import (
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of this many fingerprints or fewer is compared pair by pair.
 SMALL_BUCKET = 32
+#: A fingerprint is hot if it holds more than this share of the rows: 1,000 of them at most.
+HOT = 0.001
 #: Longs of the sketch of a shingle set.
 SKETCH = 16
 
@@ -137,17 +139,24 @@ def link_fingerprints(scratch: Scratch, distinct: DataFrame) -> DataFrame:
 
 
 def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp LONG, component): component is the smallest id reachable over links."""
+    """(id, fp LONG, component): component is the smallest id reachable over links.
+
+    Hot fingerprints, a bounded number, are broadcast to their rows, which stay where
+    they are; the rows of all others meet their component by a shuffle.
+    """
     scratch = Scratch(docs.sparkSession)
     marked = scratch.save(fingerprints(docs, id_col, text_col, size))
-    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     links = link_fingerprints(scratch, least)
     comp = components(scratch, links)
     named = comp.join(least.withColumnRenamed("fp", "node"), "node")
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     joined = comp.join(roots, "root").select(F.col("node").alias("fp"), "component")
-    owner = least.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return marked.join(owner, "fp").select("id", "fp", "component")
+    owner = scratch.save(least.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n"))
+    hot = F.col("n") > HOT * marked.count()
+    most = F.broadcast(owner.filter(hot).drop("n"))
+    rest = marked.join(F.broadcast(most.select("fp")), "fp", "left_anti").join(owner.filter(~hot).drop("n"), "fp")
+    return marked.join(most, "fp").unionByName(rest).select("id", "fp", "component")
 
 
 # -------------------------------------------------- groups by shingle similarity

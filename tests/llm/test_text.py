@@ -71,7 +71,9 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_fingerprints_and_components(spark):
+@pytest.mark.parametrize("hot", [0.001, 0.04, 1.0])
+def test_fingerprints_and_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(50)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
