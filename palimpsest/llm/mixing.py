@@ -18,15 +18,22 @@ Extra columns pass through.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 LEVELS = ("domain", "lang", "source")
-#: Parts of a leaf by leading hex digits of the order key: only the part where the
-#: budget ends is ordered in full.
-PART_DIGITS = 2
+#: Leaves are dealt into parts by leading hex digits of the order key, and only the
+#: part where the budget ends is ordered in full.  Digits are added, from two on, until
+#: a part of a leaf that holds all rows would have about this many.
+PART_ROWS = 1 << 20
+
+
+def part_digits(rows: int) -> int:
+    return max(2, math.ceil(math.log(max(1.0, rows / PART_ROWS), 16)))
 
 
 def word_count(text: Column) -> Column:
@@ -111,11 +118,12 @@ def mix_sources(
     )
     leaf = list(LEVELS)
     key = lambda epoch: F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.col("name")))
-    part = lambda k: F.substring(k, 1, PART_DIGITS)
+    digits = part_digits(docs.count())
+    part = lambda k: F.substring(k, 1, digits)
     passes = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
 
-    # tokens of every part of every leaf and epoch: a number of rows set by the tree
-    parts = scratch.save(named.select(*leaf, "tokens", "name", passes).groupBy(*leaf, "epoch", part(key(F.col("epoch"))).alias("part")).agg(F.sum("tokens").alias("tokens")), files=8)
+    # tokens of every part of every leaf and epoch: far fewer rows than documents
+    parts = scratch.save(named.select(*leaf, "tokens", "name", passes).groupBy(*leaf, "epoch", part(key(F.col("epoch"))).alias("part")).agg(F.sum("tokens").alias("tokens")), files=8 * 16 ** (digits - 2))
     leaves = parts.filter("epoch = 0").groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, weights, fraction, epochs).drop("tokens")
     before = Window.partitionBy(*leaf).orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -150,6 +150,22 @@ def test_mix_edge_cases(spark):
     assert mixing.mix_sources(df.limit(0), weights, F.lit("web")).count() == 0
 
 
+def test_mix_of_finer_parts(spark, monkeypatch):
+    """How finely leaves are dealt does not change what is taken."""
+    assert [mixing.part_digits(n) for n in (0, 1 << 20, 1 << 28, (1 << 28) + 1, 1 << 34)] == [2, 2, 2, 3, 4]
+    rows = [(i % 300, "a " * (i % 7), "en" if i % 3 else "de", f"s{i % 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+
+    def taken():
+        mixed = mixing.mix_sources(df, queries.mix_weights(spark), F.lit("web"), fraction=0.7, epochs=2)
+        return sorted(map(str, mixed.collect()))
+
+    plain = taken()
+    monkeypatch.setattr(mixing, "PART_ROWS", 0.001)
+    assert mixing.part_digits(len(rows)) == 5
+    assert taken() == plain
+
+
 # -------------------------------------------------------------------------- quality
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
