@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text whose words are sorted into one trie.
-TOGETHER = 6_000_000
+TOGETHER = 2_000_000
 #: Longer words are encoded, but not remembered.
 LONG = 64
 #: Words with the spaces before them, and spaces that nothing follows.
@@ -93,7 +93,7 @@ class Encoder:
     characters are not remembered, so the memory is bounded in bytes.
     """
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 400_000, pair_room: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, room: int = 100_000, pair_room: int = 1_000_000):
         self.v, self.room, self.pair_room = vocabulary, room, pair_room
         # what was seen lately, and before that; a word that comes back moves up
         self.known: dict[str, tuple[int, ...]] = {}

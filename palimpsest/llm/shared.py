@@ -123,6 +123,28 @@ def tidy(run):
     return over_batches
 
 
+def tidy_group(run):
+    """The same for a function over the table of a group, after each group."""
+
+    def over_group(key, table):
+        out = run(key, table)
+        trim()
+        return out
+
+    return over_group
+
+
+def tidy_cogroup(run):
+    """The same for a function over both tables of a group."""
+
+    def over_cogroup(key, left, right):
+        out = run(key, left, right)
+        trim()
+        return out
+
+    return over_cogroup
+
+
 # ------------------------------------------------------------------- text bytes
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null becomes the empty text."""

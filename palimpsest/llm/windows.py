@@ -40,6 +40,8 @@ from .shared import (
     in_blocks,
     portions,
     span_hashes,
+    tidy_cogroup,
+    tidy_group,
 )
 
 
@@ -211,9 +213,9 @@ def remove_repeated_windows(docs: DataFrame, text_col: str = "text", width: int
         types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
         return pa.table({"row": left.column("row"), **{k: pa.array(v, t) for (k, v), t in zip(out.items(), types)}})
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, twice binary")
-    answers = asked.groupBy("bucket").applyInArrow(count, "bucket int, block int, flags binary")
-    seeming = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_again, "bucket int, block int, others binary, twice binary")
-    repeated = seeming.groupBy("bucket").applyInArrow(confirm, "block int, others binary")
+    asked = blocks.groupBy("block").applyInArrow(tidy_group(ask), "bucket int, block int, keys binary, twice binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy_group(count), "bucket int, block int, flags binary")
+    seeming = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_cogroup(ask_again), "bucket int, block int, others binary, twice binary")
+    repeated = seeming.groupBy("bucket").applyInArrow(tidy_group(confirm), "block int, others binary")
     schema = T.StructType(row_type.fields + T._parse_datatype_string(ROW_OUT).fields)
-    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(tidy_cogroup(cut), schema)

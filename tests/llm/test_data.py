@@ -395,6 +395,28 @@ def test_width_of_ids():
         ordering.records(1, np.array([70_000]), 5, 4, 2)
 
 
+def test_memory_of_words_is_bounded():
+    """A worker that lives on holds few words, however many it met, and their ids stay right."""
+    model = queries.file_content("piece_bpe_32k.model")
+    e = pieces.Encoder(pieces.Vocabulary(model))
+    for k in range(8):
+        texts = [" ".join(f"{i:x}k{k}" for i in range(50_000))]
+        ids = e.encode(texts)
+    assert [e.decode(i) for i in ids] == texts
+    assert len(e.known) + len(e.older) <= 300_000
+    assert pieces.TOGETHER <= 2_000_000
+
+
+def test_groups_give_freed_memory_back(monkeypatch):
+    from palimpsest.llm import shared
+
+    trimmed = []
+    monkeypatch.setattr(shared, "trim", lambda: trimmed.append(1))
+    assert shared.tidy_group(lambda key, table: (key, table))(1, 2) == (1, 2)
+    assert shared.tidy_cogroup(lambda key, a, b: (key, a, b))(1, 2, 3) == (1, 2, 3)
+    assert len(trimmed) == 2
+
+
 # ------------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
