@@ -2,8 +2,9 @@
 
 ``fingerprints``       one 64-bit SimHash per text
 ``link_fingerprints``  components of fingerprints that differ in few bits, exactly
+``fingerprint_pairs``  texts whose SimHashes differ in few bits
 ``near_duplicates``    groups of documents whose word shingles overlap by at least
-                       a given Jaccard similarity
+                       a given Jaccard similarity: those pairs, checked, and the rest
 
 Every column may be null: a null text is the empty text, a null id never becomes
 the name of a group that has another id.  Repeated rows and equal texts share a
@@ -35,6 +36,7 @@ from .shared import (
     in_blocks,
     small_batches,
     span_hashes,
+    sweep,
     tidy,
     tidy_cogroup,
     tidy_group,
@@ -262,6 +264,22 @@ def shared_prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_cogroup(emit), "h bigint, node binary, n int, pos int, often int, sketch array<bigint>")
 
 
+def fingerprint_pairs(scratch: Scratch, texts: DataFrame, size: int = 5, text_col: str = "text") -> DataFrame:
+    """(a, b): texts whose SimHashes differ in 2 bits or fewer, found by Golay keys.
+
+    ``texts(node, text)`` may repeat texts.  Fingerprints are linked exactly
+    (``link_fingerprints``); the least node of each stands for it, and the other texts
+    of that fingerprint are paired with it.
+    """
+    marked = scratch.save(fingerprints(texts, "node", text_col, size).distinct())
+    least = scratch.save(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    own = marked.join(least, "fp").filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    of = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}"))
+    met = link_fingerprints(scratch, least).join(of("a"), "a").join(of("b"), "b")
+    across = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return own.union(across)
+
+
 def text_node(text: Column) -> Column:
     """Half the SHA-256 of a text, which names it among all texts; null for a null text."""
     return F.unhex(F.substring(F.sha2(text.cast("string").cast("binary"), 256), 1, 32))
@@ -282,13 +300,16 @@ def near_duplicates(
     ``node`` names the text (``text_node``), as an id may have several.  ``first`` is
     true for one id and text of each group: the smallest id, at a tie the smallest node.
     Equal texts are one node.  Two nodes are linked exactly if the Jaccard similarity
-    of their word shingles reaches ``similarity``, wherever their words differ: the
-    candidates come from an exact prefix filter (``shared_prefixes``), and the sets
-    decide.  Members of buckets of more than ``crowded`` texts are first compared
-    with one of them, ``rounds`` times; then all pairs of a bucket are but those
-    linked already, in parts of ``part_rows``.  Pairs whose places in the bucket or
-    whose sketches show that they cannot reach the similarity are not even formed.  Documents that are alone do not
-    appear.  Rows with a null id or no words are left alone.
+    of their word shingles reaches ``similarity``, wherever their words differ.
+    SimHashes and their Golay keys find the first links (``fingerprint_pairs``), which
+    the sets confirm.  Two bits of a SimHash do not hold all pairs that reach the
+    similarity, so an exact prefix filter (``shared_prefixes``) offers those that are
+    not connected yet, and the sets decide again.  Members of its buckets of more than
+    ``crowded`` texts are first compared with one of them, ``rounds`` times; then all
+    pairs of a bucket are but those linked already, in parts of ``part_rows``.  Pairs
+    whose places in the bucket or whose sketches show that they cannot reach the
+    similarity are not even formed.  Documents that are alone do not appear.  Rows
+    with a null id or no words are left alone.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -329,7 +350,7 @@ def near_duplicates(
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                     x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                    keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         met = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -337,6 +358,10 @@ def near_duplicates(
         scratch.drop(s, pairs)
         return out
 
+    links = verified(fingerprint_pairs(scratch, texts, size))
+    owner = scratch.save(components(scratch, links).filter("node != root").select("node", F.col("root").alias("comp")))
+    sweep(spark)  # the shuffles of this step are not needed beside those of the next
+
     # shingles that bring the same texts together are one bucket, that of the first of them
     found = scratch.save(shared_prefixes(texts, size, similarity).distinct())
     lists = found.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least"), F.min("often").alias("often"))
@@ -345,13 +370,10 @@ def near_duplicates(
     sketches = scratch.save(found.filter("sketch is not null").select("node", "sketch"))
     scratch.drop(found)
 
-    def owned(owner: DataFrame | None) -> DataFrame:
+    def owned(owner: DataFrame) -> DataFrame:
         """The buckets with the component of each member."""
-        if owner is None:
-            return buckets.withColumn("comp", F.col("node"))
         return buckets.join(owner, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    links = owner = None
     for turn in range(rounds):
         big = owned(owner).filter(F.col("m") > crowded)
         if not big.limit(1).count():
@@ -361,7 +383,7 @@ def near_duplicates(
         lead = big.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.struct(*first, F.xxhash64("node", F.lit(turn)))).alias("b"))
         met = big.alias("a").join(lead, "h").filter((F.col("a.comp") != F.col("b.comp")) & first_shared())
         ok = verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
-        links = ok if links is None else links.union(ok)
+        links = links.union(ok)
         owner = scratch.save(components(scratch, links).filter("node != root").select("node", F.col("root").alias("comp")))
 
     # a crowded bucket is dealt into parts, and each two of its parts meet in one task
@@ -378,7 +400,7 @@ def near_duplicates(
     )
     ok = verified(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     scratch.drop(members)
-    links = ok if links is None else links.union(ok)
+    links = links.union(ok)
     named = exact.join(components(scratch, links).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = named.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     return named.join(groups, "comp").select("id", "node", F.col("least.id").alias("group"), (F.struct("id", "node") == F.col("least")).alias("first"))

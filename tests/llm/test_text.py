@@ -190,6 +190,32 @@ def test_near_duplicates_wherever_words_differ(spark):
     assert {r["id"]: r["group"] for r in got.collect()} == near_groups(rows)
 
 
+def test_golay_keys_find_near_duplicates(spark, monkeypatch):
+    """Texts within two bits are linked by their SimHashes, without the filter that adds the rest."""
+    rng = random.Random(37)
+    rows = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((w, [*w, "more"], [x.upper() for x in w], w[1:]))]
+    rows += [(len(rows), ""), (len(rows) + 1, " "), (len(rows) + 2, "\n"), (len(rows) + 3, "a b"), (len(rows) + 4, "c d")]
+    docs = spark.createDataFrame(rows, DOCS)
+    fp = {i: simhash.simhash(t.encode(), 5) for i, t in rows}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
+    texts = docs.select(simhash.text_node(F.col("text")).alias("node"), "text")
+    name = {r["node"]: r["doc_id"] for r in docs.select("doc_id", simhash.text_node(F.col("text")).alias("node")).collect()}
+    got = [(name[r["a"]], name[r["b"]]) for r in simhash.fingerprint_pairs(Scratch(spark), texts).collect()]
+    assert {tuple(sorted(p)) for p in got} <= set(near)
+    assert classes(set(fp), got) == classes(set(fp), near)
+    # the stage takes its first links from them, as far as the shingles confirm them
+    whole = simhash.shared_prefixes
+    monkeypatch.setattr(simhash, "shared_prefixes", lambda *a: whole(*a).filter("false"))
+    links = [(a, b) for a, b in near if b < 48]
+    joined = {x for e in links for x in e}
+    assert len(joined) > 36
+    found = {r["id"]: r["group"] for r in simhash.near_duplicates(docs).collect()}
+    assert found == {k: v for k, v in classes(set(fp), links).items() if k in joined}
+
+
 def test_repeated_ids_lose_only_the_repeated_text(spark):
     """Id 7 holds a copy of document 3 and a text of its own; id 9 holds two near copies."""
     import corpus_pipeline
