@@ -160,6 +160,20 @@ def overlaps(a: DataFrame, b: DataFrame, width: int, below: bool = False) -> Dat
     return met.filter(F.col("cell") == int_div(F.greatest("a_lo", "b_lo"), width)).select("a_run", "b_run")
 
 
+def overlaps_below(levels: DataFrame, deepest: int = 5) -> DataFrame:
+    """Pairs (a_run, b_run) whose key ranges meet, the second of the level below the first.
+
+    All levels but the deepest hold a bounded number of runs and are broadcast; the
+    runs below are dealt over the tasks by number.  So a pair is formed once, however
+    long the ranges are and however many begin at one key.
+    """
+    upper = levels.filter(F.col("level") < deepest).select((F.col("level") + 1).alias("level"), F.col("run").alias("a_run"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    # so small a table would be one task, and so would parts by the run alone, which it already has
+    parts = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lower = levels.filter(F.col("level") > 0).select("level", F.col("run").alias("b_run"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).repartition(parts, "level", "b_run")
+    return lower.join(F.broadcast(upper), "level").filter("a_lo <= b_hi AND b_lo <= a_hi").select("a_run", "b_run")
+
+
 def scan_run(run_rows: DataFrame, master: DataFrame, discard: bool = False) -> DataFrame:
     """(run, key, value, is_synced): a run older than the master sync id counts as synced.
 

@@ -196,8 +196,7 @@ def run_point_pruned(spark, d):
 @query(f"WITH {LEVELS} SELECT a.run AS a_run, b.run AS b_run FROM levels a JOIN levels b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi")
 def run_overlap_pairs(spark, d):
     """Each run with those of the next level that a compaction would have to merge with it."""
-    levels = _levels(spark, d)
-    return lsm.overlaps(levels, levels, CELL, below=True)
+    return lsm.overlaps_below(_leveled_spans(spark, d))
 
 
 SCAN = f"WITH {RUNS} SELECT run, key, value, epoch < upto // {SYNC_EVERY} AS is_synced FROM runs, mark"
@@ -259,6 +258,11 @@ def _levels(spark, d):
     return lsm.leveled(lsm.key_ranges(_runs(spark, d)))
 
 
+def _leveled_spans(spark, d):
+    """Levels without the number of keys: the writes of a run have its first and last key too."""
+    return lsm.leveled(lsm.key_ranges(write_log(spark, d)).drop("n"))
+
+
 @query(f"WITH {LEVELS} SELECT level, run, lo, hi, n FROM levels")
 def level_listing(spark, d):
     return _levels(spark, d).select("level", "run", "lo", "hi", "n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 
 from palimpsest.plans import registry
@@ -30,3 +33,25 @@ def test_every_query_has_sql_or_is_an_operator():
 
     missing = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
     assert all(n.startswith("op") or n == "pipeline" for n in missing)
+
+
+@pytest.fixture(scope="module", params=["long", "apart", "short", "below zero"])
+def wide_dir(request, tmp_path_factory):
+    """Events in 131 runs, whose keys lie anywhere in a long range or near a key of each run's own."""
+    rng, kind = random.Random(request.param), request.param
+    low, high = {"long": (0, 1 << 50), "apart": (0, 40), "short": (0, 300), "below zero": (-(1 << 50), 1)}[kind]
+    home = [rng.randrange(1 << 40) if kind == "apart" else rng.randrange(4000) if kind == "short" else 0 for _ in range(130)]
+    rows = [(i, home[i // 100] + rng.randrange(low, high), float(i)) for i in range(13_000) if kind != "short" or i % 100 < 3]
+    d = tmp_path_factory.mktemp("wide")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE e (event_id BIGINT, user_id BIGINT, value DOUBLE)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?)", rows)
+    c.execute("INSERT INTO e VALUES (13000, NULL, 0.0)")  # a run without keys
+    c.execute(f"COPY e TO '{d}/events.parquet' (FORMAT parquet)")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["run_overlap_pairs"])
+def test_key_ranges_of_any_length(spark, wide_dir, name):
+    """Buckets of 64 keys could not be listed for a range of 2**50 keys."""
+    same(registry.QUERIES[name](spark, wide_dir), connect(wide_dir), registry.SQL[name])
