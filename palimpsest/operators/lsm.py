@@ -139,39 +139,46 @@ def run_index(run_rows: DataFrame, block: int) -> DataFrame:
     return run_rows.withColumn("block", int_div(place, block)).groupBy("run", "block").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, width: int, below: bool = False) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """Pairs (a_run, b_run) whose key ranges meet, by an equi-join on buckets of keys.
 
-    With ``below`` both have a level, and a run meets those of the next level only,
-    which is what a compaction asks; the level is part of the join's key.
-
     Each range visits the buckets of ``width`` keys that it covers; a pair is kept
     in the bucket where its common part begins, so it comes out once.
     """
 
     def spread(d: DataFrame, p: str) -> DataFrame:
-        level = F.col("level") + (1 if p == "a" else 0) if below else F.lit(0)
         return d.select(
-            level.alias("at"), F.col("run").alias(f"{p}_run"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"),
+            F.col("run").alias(f"{p}_run"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"),
             F.explode(F.sequence(int_div(F.col("lo"), width), int_div(F.col("hi"), width))).alias("cell"),
         )
 
-    met = spread(a, "a").join(spread(b, "b"), ["at", "cell"]).filter("a_lo <= b_hi AND b_lo <= a_hi")
+    met = spread(a, "a").join(spread(b, "b"), "cell").filter("a_lo <= b_hi AND b_lo <= a_hi")
     return met.filter(F.col("cell") == int_div(F.greatest("a_lo", "b_lo"), width)).select("a_run", "b_run")
 
 
+def _facing(levels: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """(level, a_run, a_lo, a_hi) and (level, b_run, b_lo, b_hi): runs, and those of the level that they face.
+
+    The first holds a bounded number of runs, all but those of the deepest level.
+    """
+    upper = levels.filter(F.col("level") < deepest).select((F.col("level") + 1).alias("level"), F.col("run").alias("a_run"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    return upper, levels.filter(F.col("level") > 0).select("level", F.col("run").alias("b_run"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+
+
+def _met(upper: DataFrame, lower: DataFrame, by: str) -> DataFrame:
+    """Runs and those that they face joined where they meet: a broadcast, so that no key range or level is one task's."""
+    # not by the columns of a grouping before it: its parts would be taken over and, small as they are, merged into one task
+    parts = int(lower.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lower.repartition(parts, by, "level").join(F.broadcast(upper), "level").filter("a_lo <= b_hi AND b_lo <= a_hi")
+
+
 def overlaps_below(levels: DataFrame, deepest: int = 5) -> DataFrame:
     """Pairs (a_run, b_run) whose key ranges meet, the second of the level below the first.
 
-    All levels but the deepest hold a bounded number of runs and are broadcast; the
-    runs below are dealt over the tasks by number.  So a pair is formed once, however
-    long the ranges are and however many begin at one key.
+    A pair is formed once, however long the ranges are and however many begin at one key.
     """
-    upper = levels.filter(F.col("level") < deepest).select((F.col("level") + 1).alias("level"), F.col("run").alias("a_run"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    # so small a table would be one task, and so would parts by the run alone, which it already has
-    parts = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lower = levels.filter(F.col("level") > 0).select("level", F.col("run").alias("b_run"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).repartition(parts, "level", "b_run")
-    return lower.join(F.broadcast(upper), "level").filter("a_lo <= b_hi AND b_lo <= a_hi").select("a_run", "b_run")
+    upper, lower = _facing(levels, deepest)
+    return _met(upper, lower, "b_run").select("a_run", "b_run")
 
 
 def scan_run(run_rows: DataFrame, master: DataFrame, discard: bool = False) -> DataFrame:
@@ -282,10 +289,15 @@ def compaction_inputs(levels: DataFrame, level: int, width: int) -> DataFrame:
     return oldest.select("run", F.lit("upper").alias("role")).union(met.select(F.col("b_run").alias("run"), F.lit("lower").alias("role")))
 
 
-def trivial_moves(levels: DataFrame, width: int) -> DataFrame:
-    """(run, level): runs that no run of the next level overlaps, so they can move as they are."""
-    met = overlaps(levels, levels, width, below=True).select(F.col("a_run").alias("run"))
-    return levels.filter(F.col("level") < 5).join(met, "run", "left_anti").select("run", "level")
+def trivial_moves(levels: DataFrame, deepest: int = 5) -> DataFrame:
+    """(run, level): runs that no run of the next level overlaps, so they can move as they are.
+
+    Of the runs below that begin at one key the longest decides, the others meet no more.
+    """
+    upper, lower = _facing(levels, deepest)
+    longest = lower.groupBy("level", "b_lo").agg(F.max("b_hi").alias("b_hi"))
+    met = _met(upper, longest, "b_lo").select(F.col("a_run").alias("run")).distinct()
+    return levels.filter(F.col("level") < deepest).join(met, "run", "left_anti").select("run", "level")
 
 
 def swap_runs(levels: DataFrame, created: DataFrame, deleted: DataFrame) -> DataFrame:

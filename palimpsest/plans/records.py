@@ -289,7 +289,7 @@ def compaction_inputs(spark, d):
   SELECT 1 FROM levels b WHERE b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi)"""
 )
 def trivial_move_candidates(spark, d):
-    return lsm.trivial_moves(_levels(spark, d), CELL)
+    return lsm.trivial_moves(_leveled_spans(spark, d))
 
 
 @query(f"WITH {LEVELS} SELECT run, lo, hi, n, level FROM levels WHERE run NOT IN (2, 5) UNION ALL SELECT 1000000, 0, 9, 10, 1")

@@ -51,7 +51,7 @@ def wide_dir(request, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["run_overlap_pairs"])
+@pytest.mark.parametrize("name", ["run_overlap_pairs", "trivial_move_candidates"])
 def test_key_ranges_of_any_length(spark, wide_dir, name):
     """Buckets of 64 keys could not be listed for a range of 2**50 keys."""
     same(registry.QUERIES[name](spark, wide_dir), connect(wide_dir), registry.SQL[name])
