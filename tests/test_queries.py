@@ -55,3 +55,13 @@ def wide_dir(request, tmp_path_factory):
 def test_key_ranges_of_any_length(spark, wide_dir, name):
     """Buckets of 64 keys could not be listed for a range of 2**50 keys."""
     same(registry.QUERIES[name](spark, wide_dir), connect(wide_dir), registry.SQL[name])
+
+
+@pytest.mark.parametrize("n", [1, 102, 103, 10_404, 10_405, 25_000])
+def test_roots_over_any_number_of_documents(spark, tmp_path, n):
+    """The root's SQL has two levels at any size, the other one as many as it takes to one node."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT range AS doc_id, CASE WHEN range % 7 <> 3 THEN 'text ' || range END AS text FROM range({n})) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    for name in ("merkle_root", "merkle_root_any_height"):
+        same(registry.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), registry.SQL[name])
+    assert registry.QUERIES["merkle_root_any_height"](spark, str(tmp_path)).count() == 1
